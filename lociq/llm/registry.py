@@ -1,8 +1,8 @@
 """The queries of the training-data operators and their SQL."""
 
-from lociq.llm import ann, chat, packing
+from lociq.llm import ann, chat, packing, secrets
 
-MODULES = (packing, ann, chat)
+MODULES = (packing, ann, chat, secrets)
 
 
 def queries() -> dict:
