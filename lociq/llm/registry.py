@@ -1,8 +1,8 @@
 """The queries of the training-data operators and their SQL."""
 
-from lociq.llm import ann, chat, packing, secrets
+from lociq.llm import ann, chat, neardup, packing, secrets
 
-MODULES = (packing, ann, chat, secrets)
+MODULES = (packing, ann, neardup, chat, secrets)
 
 
 def queries() -> dict:
