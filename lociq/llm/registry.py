@@ -1,8 +1,8 @@
 """The queries of the training-data operators and their SQL."""
 
-from lociq.llm import ann, chat, neardup, packing, secrets
+from lociq.llm import ann, chat, neardup, packing, secrets, suffix
 
-MODULES = (packing, ann, neardup, chat, secrets)
+MODULES = (packing, ann, neardup, chat, secrets, suffix)
 
 
 def queries() -> dict:
