@@ -1,8 +1,8 @@
 """The queries of the training-data operators and their SQL."""
 
-from lociq.llm import ann, chat, lines, neardup, packing, secrets, suffix
+from lociq.llm import ann, chat, decontaminate, lines, neardup, packing, secrets, suffix
 
-MODULES = (packing, ann, neardup, lines, chat, secrets, suffix)
+MODULES = (packing, ann, neardup, lines, chat, decontaminate, secrets, suffix)
 
 
 def queries() -> dict:
