@@ -8,14 +8,17 @@ find pairs: a pair of similarity 0.75 misses all of them with probability
 1.1e-6.  Equal sets are first folded into one representative, found by
 aggregation, so groups of copies cost a row each however large they are.
 
-Two rounds find the links.  First each document of a band's bucket meets the
-bucket's smallest id; the links confirmed join most members.  Then, in buckets
-that still hold several components, members of different components are
-compared by signature, in blocks.  In both rounds a pair goes on only if its
-sizes allow the similarity and its signatures agree in at least 0.58 of the
-values (four and a half standard deviations below 0.75), and it becomes a link
-only if 100 * intersection >= 75 * union of the full sets.  Pairs inside one
-component can't change the result and are not made.
+Two rounds find the links.  First each document meets one other, the smallest
+id of any bucket it is in; the links confirmed join many members.  Then, in
+buckets that still hold several components, members of different components
+meet: by signature, in blocks, which leaves the members with a lookalike, and
+those are compared by their full sets inside the bucket, where only links that
+join components are put out.  So no round makes a row for each pair of a
+bucket.  A pair is compared in the first band that it shares, and buckets of
+more than TILE members are dealt over tiles, each with two slices of them.  A
+pair goes on only if its sizes allow the similarity and its signatures agree
+in at least 0.58 of the values (four and a half standard deviations below
+0.75), and it becomes a link only if 100 * intersection >= 75 * union.
 
 Null or blank text: empty set, linked with nothing, component is its own
 doc_id.  Repeated rows: a row each, of one component.  A null doc_id links
@@ -39,6 +42,7 @@ from lociq.llm._text import U, mix, pieces, shingles
 PERMUTATIONS, ROWS = 72, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 AGREE = 0.58
+TILE = 4096
 _A = np.random.default_rng(11).integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(U) | U(1)
 _B = np.random.default_rng(13).integers(1, 2**63, (BANDS, ROWS), dtype=np.int64).astype(U) | U(1)
 
@@ -95,57 +99,101 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array((sa == sb).mean(1) >= AGREE))
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have 100 * intersection >= 75 * union."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets have 100 * intersection >= 75 * union."""
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+        keep = [linked(np.frombuffer(x, U), np.frombuffer(y, U)) for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist(), strict=True)]
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole buckets, sorted by (key, n) -> pairs of different components that look alike."""
-
-    def pairs(rows: list) -> tuple[list, list]:
-        ids, labels = (np.array([r[k] for r in rows], np.int64) for k in (1, 3))
-        n = np.array([r[2] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        a, b = [], []
-        for i in range(len(rows) - 1):
-            to = int(np.searchsorted(n, n[i] * 4 // 3, side="right"))
-            js = np.flatnonzero(labels[i + 1 : to] != labels[i]) + i + 1
-            if len(js):
-                js = js[(sig[js] == sig[i]).mean(1) >= AGREE]
-                a += [int(ids[i])] * len(js)
-                b += ids[js].tolist()
-        return a, b
-
-    held: list = []
+class Bucket:
+    """Members of one tile of a bucket, by size."""
+
+    def __init__(self, rows: list[dict]):
+        rows = sorted(rows, key=lambda r: (r["size"], r["doc_id"]))
+        self.rows, self.n = rows, len(rows)
+        column = lambda k: np.array([r[k] for r in rows], np.int64)
+        self.ids, self.size, self.label, self.slice = (column(k) for k in ("doc_id", "size", "label", "slice"))
+        self.bands = np.array([r["bands"] for r in rows], np.int64)
+        self.band = int(np.flatnonzero(self.bands[0] == rows[0]["key"])[0])
+        self.apart = rows[0]["lo_slice"] != rows[0]["hi_slice"]
+        self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(self.n, -1)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later members that member i must be compared with here."""
+        to = int(np.searchsorted(self.size, self.size[i] * 4 // 3, side="right"))
+        js = np.arange(i + 1, to)
+        js = js[self.label[js] != self.label[i]]
+        if self.apart:
+            js = js[self.slice[js] != self.slice[i]]
+        if len(js):
+            js = js[(self.sig[js] == self.sig[i]).mean(1) >= AGREE]
+        if len(js):
+            js = js[(self.bands[js] == self.bands[i]).argmax(1) == self.band]
+        return js
+
+    def lookalikes(self) -> list[int]:
+        found = np.zeros(self.n, bool)
+        for i in range(self.n - 1):
+            js = self.partners(i)
+            found[js] = True
+            found[i] |= len(js) > 0
+        return self.ids[found].tolist()
+
+    def links(self) -> list[tuple[int, int]]:
+        sets, root, out = [np.frombuffer(r["items"], U) for r in self.rows], {}, []
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for i in range(self.n - 1):
+            for j in self.partners(i).tolist():
+                a, b = find(int(self.label[i])), find(int(self.label[j]))
+                if a != b and linked(sets[i], sets[j]):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(self.ids[i]), int(self.ids[j])))
+        return out
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], of: Callable[[Bucket], list]) -> Iterator[tuple[tuple, list]]:
+    """of(bucket) for each run of rows with equal (key, lo_slice, hi_slice)."""
+    held: list[dict] = []
+    name = lambda r: (r["key"], r["lo_slice"], r["hi_slice"])
     for batch in batches:
-        a, b = [], []
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if held and held[0][0] != row[0]:
-                x, y = pairs(held)
-                a, b, held = a + x, b + y, []
+        for row in batch.to_pylist():
+            if held and name(held[0]) != name(row):
+                yield name(held[0]), of(Bucket(held))
+                held = []
             held.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(held)], names=["a", "b"])
+        yield name(held[0]), of(Bucket(held))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that are links; texts of the documents concerned are read once more."""
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = scratch.save(docs.join(small_side(ids, F.lit(16)), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, items binary"))
-    one = lambda side: sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"x{side}"))
-    out = scratch.save(pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long"))
-    scratch.drop(sets)
-    return out
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (key, lo, hi), ids in _by_bucket(batches, Bucket.lookalikes):
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([lo] * n, pa.int32()), pa.array([hi] * n, pa.int32()), pa.array(ids, pa.int64())], names=["key", "lo_slice", "hi_slice", "doc_id"])
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, pairs in _by_bucket(batches, Bucket.links):
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Full sets of some documents, whose texts are read once more."""
+    near = docs.join(small_side(ids, F.lit(16)), "doc_id", "left_semi")
+    return near.select("doc_id", "text").mapInArrow(_sets, "doc_id long, items binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,28 +202,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(docs.mapInArrow(_sign, SIGNED))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("r")
+    first = F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "bands", "sig")).alias("r")
     reps = scratch.save(usable.groupBy("set_hi", "set_lo").agg(first).select("set_hi", "set_lo", "r.*"))
-
+    facts = reps.select("doc_id", "size", "bands", "sig")
     key = Window.partitionBy("key")
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = scratch.save(banded.select("key", "doc_id", F.count("*").over(key).alias("n"), F.min("doc_id").over(key).alias("first")).where("n > 1"))
-    facts = reps.select("doc_id", F.col("n_shingles").alias("size"), "sig")
+
+    met = reps.select("doc_id", F.explode("bands").alias("key")).select("doc_id", F.min("doc_id").over(key).alias("first")).where("doc_id <> first")
+    met = met.groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a"))
     one = lambda side: facts.select(F.col("doc_id").alias(side), F.col("size").alias(f"n{side}"), F.col("sig").alias(f"s{side}"))
-    star = buckets.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sized = star.join(one("b"), "b").join(one("a"), "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    sized = met.join(one("b"), "b").join(one("a"), "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
     tried = scratch.save(sized.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
-    links = _confirmed(tried, docs, scratch)
+    sets = scratch.save(_sets_of(scratch.save(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), docs))
+    one = lambda side: sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"x{side}"))
+    links = scratch.save(tried.join(one("b"), "b").join(one("a"), "a").select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long"))
+    scratch.drop(sets)
     parts = connected_components(links, scratch)
 
-    label = F.coalesce("component", "doc_id")
-    left = buckets.where("n > 2").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", label.alias("label"))
-    left = left.select("key", "doc_id", "label", F.min("label").over(key).alias("lo"), F.max("label").over(key).alias("hi")).where("lo < hi")
-    left = left.join(facts, "doc_id").select("key", "doc_id", "size", "label", "sig").repartition("key").sortWithinPartitions("key", "size", "doc_id")
-    more = left.mapInArrow(_across, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.save(more.join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(_confirmed(more, docs, scratch))
+    labelled = reps.select("doc_id", "bands").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("label"), F.explode("bands").alias("key"))
+    mixed = labelled.select("*", F.min("label").over(key).alias("lo"), F.max("label").over(key).alias("hi"), F.count("*").over(key).alias("n")).where("lo < hi")
+    slices = F.ceil(F.col("n") / TILE).cast("int")
+    mixed = mixed.select("key", "doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(3)), slices).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("other"))
+    mixed = scratch.save(mixed.select("key", "doc_id", "label", "slice", F.least("slice", "other").alias("lo_slice"), F.greatest("slice", "other").alias("hi_slice")))
+    tile = ["key", "lo_slice", "hi_slice"]
+    whole = lambda df: df.repartition(*tile).sortWithinPartitions(*tile)
+    flagged = scratch.save(whole(mixed.join(facts, "doc_id")).mapInArrow(_flag, "key long, lo_slice int, hi_slice int, doc_id long"))
+    ids = scratch.save(flagged.select("doc_id").distinct())
+    if not ids.isEmpty():
+        sets = scratch.save(_sets_of(ids, docs))
+        full = mixed.join(flagged, [*tile, "doc_id"]).join(facts, "doc_id").join(sets, "doc_id")
+        links = links.union(scratch.save(whole(full).mapInArrow(_link, "a long, b long")))
         parts = connected_components(links, scratch)
 
     named = reps.select("set_hi", "set_lo", F.col("doc_id").alias("rep")).join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
