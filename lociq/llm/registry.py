@@ -1,8 +1,8 @@
 """The queries of the training-data operators and their SQL."""
 
-from lociq.llm import ann, chat, decontaminate, lines, neardup, packing, secrets, suffix, toxicity
+from lociq.llm import ann, chat, decontaminate, licenses, lines, neardup, packing, secrets, suffix, toxicity
 
-MODULES = (packing, ann, neardup, lines, chat, decontaminate, secrets, suffix, toxicity)
+MODULES = (packing, ann, neardup, lines, licenses, toxicity, chat, decontaminate, secrets, suffix)
 
 
 def queries() -> dict:
