@@ -1,12 +1,54 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage takes the documents that the one before it kept and returns the
+same columns; the last returns the packing.  Stages hand columns through as
+one struct, so columns of any name pass unharmed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociq.llm import decontaminate, lines, neardup, packing, toxicity
+from lociq.llm._common import Scratch, small_side, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier chain calls toxic."""
+    models, thresholds = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return toxicity.score(rows, models).where(F.col("p_toxic") < thresholds[-1]).select("row.*")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated runs of lines; a document that was nothing else goes."""
+    rows = lines.drop_repeated_lines(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    kept = rows.where("n_removed = 0 or n_removed < n_lines")
+    return kept.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group."""
+    gone = neardup.near_duplicates(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(small_side(Scratch(spark).save(gone), F.lit(16)), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a benchmark item."""
+    found = decontaminate.find_items(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(small_side(Scratch(spark).save(found), F.lit(16)), "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
-from lociq.llm._common import Scratch, table
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_duplicates), ("decontaminate", drop_contaminated), ("pack", pack)]
+#: A trained classifier and best-fit packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
