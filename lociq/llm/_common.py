@@ -36,10 +36,20 @@ class Scratch:
         self.base = f"{shared_dir(spark).rstrip('/')}/lociq-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """Writes df and reads it back; batch: most rows that go to Python at a time, for wide rows."""
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        if batch:
+            key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
+            before = conf.get(key)
+            conf.set(key, str(batch))
+            try:
+                df.write.parquet(path)
+            finally:
+                conf.set(key, before)
+        else:
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lociq_path = path
         return out

@@ -42,7 +42,9 @@ from lociq.llm._text import U, mix, pieces, shingles
 PERMUTATIONS, ROWS = 72, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 AGREE = 0.58
-TILE = 4096
+TILE = 1024
+#: Rows that hold sets go to Python so many at a time.
+WIDE = 256
 _A = np.random.default_rng(11).integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(U) | U(1)
 _B = np.random.default_rng(13).integers(1, 2**63, (BANDS, ROWS), dtype=np.int64).astype(U) | U(1)
 
@@ -120,7 +122,7 @@ class Bucket:
         self.rows, self.n = rows, len(rows)
         column = lambda k: np.array([r[k] for r in rows], np.int64)
         self.ids, self.size, self.label, self.slice = (column(k) for k in ("doc_id", "size", "label", "slice"))
-        self.bands = np.array([r["bands"] for r in rows], np.int64)
+        self.bands = np.stack([r["bands"] for r in rows])
         self.band = int(np.flatnonzero(self.bands[0] == rows[0]["key"])[0])
         self.apart = rows[0]["lo_slice"] != rows[0]["hi_slice"]
         self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(self.n, -1)
@@ -169,7 +171,9 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], of: Callable[[Bucket], list])
     held: list[dict] = []
     name = lambda r: (r["key"], r["lo_slice"], r["hi_slice"])
     for batch in batches:
-        for row in batch.to_pylist():
+        bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        for row, keys in zip(batch.drop_columns(["bands"]).to_pylist(), bands, strict=True):
+            row["bands"] = keys.copy()
             if held and name(held[0]) != name(row):
                 yield name(held[0]), of(Bucket(held))
                 held = []
@@ -214,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = scratch.save(sized.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
     sets = scratch.save(_sets_of(scratch.save(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), docs))
     one = lambda side: sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"x{side}"))
-    links = scratch.save(tried.join(one("b"), "b").join(one("a"), "a").select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long"))
+    links = scratch.save(tried.join(one("b"), "b").join(one("a"), "a").select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long"), WIDE)
     scratch.drop(sets)
     parts = connected_components(links, scratch)
 
@@ -230,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not ids.isEmpty():
         sets = scratch.save(_sets_of(ids, docs))
         full = mixed.join(flagged, [*tile, "doc_id"]).join(facts, "doc_id").join(sets, "doc_id")
-        links = links.union(scratch.save(whole(full).mapInArrow(_link, "a long, b long")))
+        links = links.union(scratch.save(whole(full).mapInArrow(_link, "a long, b long"), WIDE))
         parts = connected_components(links, scratch)
 
     named = reps.select("set_hi", "set_lo", F.col("doc_id").alias("rep")).join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
