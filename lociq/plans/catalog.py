@@ -1,9 +1,13 @@
 """Queries of the engine and their SQL."""
 
+from lociq.plans import genes, sequences, status
+
+MODULES = (status, genes, sequences)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
