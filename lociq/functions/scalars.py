@@ -115,14 +115,13 @@ AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 def translate(seq: Column, stop: str = "X") -> Column:
     """Protein of a coding sequence: whole codons, stops and codons with other letters as given or X."""
     table = AMINO_ACIDS.replace("*", stop)
-    dna = F.translate(F.upper(seq), "U", "T")
-    n = F.floor(F.length(seq) / 3).cast("int")
+    codons = F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(?s)(...)"), F.lit(1))
 
-    def amino(i: Column) -> Column:
-        a, b, c = (F.translate(F.substring(dna, i * 3 + 1 + k, F.lit(1)), "TCAG", "0123").try_cast("int") for k in range(3))
-        return F.coalesce(F.substring(F.lit(table), a * 16 + b * 4 + c + 1, F.lit(1)), F.lit("X"))
+    def amino(codon: Column) -> Column:
+        digits = F.translate(codon, "TCAG", "0123")
+        return F.when(digits.rlike("^[0-3]{3}$"), F.substring(F.lit(table), F.conv(digits, 4, 10).cast("int") + 1, F.lit(1))).otherwise("X")
 
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), amino), "")).otherwise(F.lit(""))
+    return F.array_join(F.transform(codons, amino), "")
 
 
 def six_frames(seq: Column) -> Column:
