@@ -45,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm._common import Scratch, small_side, table
+from lociq.llm._common import Scratch, table
 from lociq.llm._text import U, mix, pieces, powers, prefix_hashes
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1  # marks a window can choose from
 LEFT = WINDOW - GRAM  # bytes to the left that a window can reach
+#: Texts that go to Python at a time where each mark becomes an object there.
+TEXTS = 2048
 _FOLD = U(0xD6E8FEB86659FD93)
 
 
@@ -111,33 +113,61 @@ def _mark_blocks(n: int):
     return run
 
 
-def _with_twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole groups -> per document the marks whose hash occurs again."""
+ROUTED = "grp int, ids binary, keys binary, x binary, y binary"
+
+
+def _route(n: int, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Values of documents -> one block for each group of documents, by a hash of the id."""
+    to = _groups(mix(ids.astype(U)), n)
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(n + 1))
+    some = np.flatnonzero(np.diff(cut))
+    parts = [[v[order[cut[g] : cut[g + 1]]].tobytes() for g in some] for v in (ids, keys, x.astype(np.uint32), y.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["grp", "ids", "keys", "x", "y"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole groups -> (doc_id, text_key, spans): the spans x, y of each document joined."""
     held: list[list] = [[], [], [], []]
     for b in batches:
-        for ids, keys, doc, pos, h in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True):
-            local = np.frombuffer(doc, np.uint32)
-            for part, x in zip(held, (np.frombuffer(ids, np.int64)[local], np.frombuffer(keys, np.int64)[local], np.frombuffer(pos, np.uint32), np.frombuffer(h, U)), strict=True):
-                part.append(x)
+        for part, c, kind in zip(held, range(1, 5), (np.int64, np.int64, np.uint32, np.uint32), strict=True):
+            part += [np.frombuffer(v, kind) for v in b.column(c).to_pylist()]
     if not held[0]:
         return
-    ids, keys, pos, h = (np.concatenate(x) for x in held)
-    held.clear()
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    twin = np.zeros(len(h), bool)
-    twin[order[1:]] |= same
-    twin[order[:-1]] |= same
-    ids, keys, pos = ids[twin], keys[twin], pos[twin]
-    if not len(ids):
-        return
-    order = np.lexsort((pos, keys, ids))
-    ids, keys, pos = ids[order], keys[order], pos[order]
+    ids, keys, x, y = (np.concatenate(v) for v in held)
+    order = np.lexsort((x, keys, ids))
+    ids, keys, x, y = ids[order], keys[order], x[order].astype(np.int64), y[order].astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
     ends = np.append(cut[1:], len(ids))
-    for s in range(0, len(cut), 4096):
-        part = slice(s, s + 4096)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cut[part]]), pa.array(keys[cut[part]]), pa.array([pos[i:j].tobytes() for i, j in zip(cut[part], ends[part], strict=True)], pa.binary())], names=["doc_id", "text_key", "at"])
+    for at in range(0, len(cut), 4096):
+        part = slice(at, at + 4096)
+        blobs = [join_spans(x[i:j], y[i:j]).astype(np.uint32).tobytes() for i, j in zip(cut[part], ends[part], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cut[part]]), pa.array(keys[cut[part]]), pa.array(blobs, pa.binary())], names=["doc_id", "text_key", "spans"])
+
+
+def _with_twins(n: int):
+    """Blocks of whole groups -> the marks whose hash occurs again, on their way to their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        for b in batches:
+            for ids, keys, doc, pos, h in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                local = np.frombuffer(doc, np.uint32)
+                for part, x in zip(held, (np.frombuffer(ids, np.int64)[local], np.frombuffer(keys, np.int64)[local], np.frombuffer(pos, np.uint32), np.frombuffer(h, U)), strict=True):
+                    part.append(x)
+        if not held[0]:
+            return
+        ids, keys, pos, h = (np.concatenate(x) for x in held)
+        held.clear()
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        twin = np.zeros(len(h), bool)
+        twin[order[1:]] |= same
+        twin[order[:-1]] |= same
+        if twin.any():
+            yield _route(n, ids[twin], keys[twin], pos[twin], pos[twin])
+
+    return run
 
 
 def front_code(suffixes: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -167,9 +197,9 @@ def _runs(n: int):
         for b in batches:
             ids, keys = (b.column(k).to_pylist() for k in (0, 1))
             groups: dict[int, list] = {}
-            for k, (text, ats) in enumerate(zip(b.column(2), b.column(3).to_pylist(), strict=True)):
+            for k, (text, at) in enumerate(zip(b.column(2), b.column(3).to_pylist(), strict=True)):
                 data = (text.as_py() or "").encode()
-                pos = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in ats]).astype(np.int64))
+                pos = np.unique(np.frombuffer(at, np.uint32)).astype(np.int64)
                 h = prefix_hashes(np.frombuffer(data, np.uint8)) if len(data) < 1 << 24 else None
                 g = _gram_groups(data, pos, h, n)
                 for p, grp in zip(pos.tolist(), g.tolist(), strict=True):
@@ -182,13 +212,21 @@ def _runs(n: int):
                 for i, r in enumerate(rows):
                     if r[1]:
                         left[i, : len(r[1])] = np.frombuffer(r[1], np.uint8)[::-1]
-                out.append((grp, shared, sizes, rests, bytes(len(r[1]) for r in rows), left.T.tobytes(), np.array([ids[r[2]] for r in rows], np.int64).tobytes(), np.array([keys[r[2]] for r in rows], np.int64).tobytes(), np.array([r[3] for r in rows], np.uint32).tobytes()))
+                out.append((grp, shared, sizes, _packed(rests), bytes(len(r[1]) for r in rows), _packed(left.T.tobytes()), np.array([ids[r[2]] for r in rows], np.int64).tobytes(), np.array([keys[r[2]] for r in rows], np.int64).tobytes(), np.array([r[3] for r in rows], np.uint32).tobytes()))
             cols = list(zip(*out, strict=True)) if out else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["grp", *RUN_FIELDS])
 
     return run
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 RUN_FIELDS = ("shared", "sizes", "rests", "left_sizes", "lefts", "ids", "keys", "pos")
 
 
@@ -305,14 +343,20 @@ def covered(lcp: np.ndarray, size: np.ndarray, left_size: np.ndarray, left: np.n
     return out
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of whole groups -> per document the covered spans (start, end)."""
+def _merge(n: int):
+    return lambda batches: _merged(batches, n)
+
+
+def _merged(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Runs of whole groups -> the covered spans (start, end), on their way to their documents."""
     held: dict[int, list] = {}
     for b in batches:
         for grp, *run in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
             held.setdefault(grp, []).append(run)
     for grp in list(held):
         runs = held.pop(grp)
+        for r in runs:
+            r[2], r[4] = _unpacked(r[2]), _unpacked(r[4])
         base = np.cumsum([0, *(len(r[1]) for r in runs)])
         where, lcp, size = [], [], []
         for r, i, s, shared in merge_runs([tuple(r[:3]) for r in runs]):
@@ -364,11 +408,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(spans)
         if not len(rows):
             continue
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        cut = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
-        ends = np.append(cut[1:], len(rows))
-        merged = [join_spans(rows[i:j, 2], rows[i:j, 3]).astype(np.uint32).tobytes() for i, j in zip(cut, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[cut, 0]), pa.array(rows[cut, 1]), pa.array(merged, pa.binary())], names=["doc_id", "text_key", "spans"])
+        yield _route(n, *rows.T)
 
 
 def _lcp_of(lcp: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -394,14 +434,9 @@ def join_spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for d, text, blobs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+        for d, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
-            spans = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs]).reshape(-1, 2).astype(np.int64) if blobs else np.zeros((0, 2), np.int64)
-            if len(spans):
-                spans = spans[np.argsort(spans[:, 0], kind="stable")]
-                runs = join_spans(spans[:, 0], spans[:, 1]).reshape(-1, 2).tolist()
-            else:
-                runs = []
+            runs = np.frombuffer(spans or b"", np.uint32).reshape(-1, 2).tolist()
             kept, at = [], 0
             for i, j in runs:
                 kept.append(data[at:i])
@@ -413,16 +448,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, text_key, blobs): of each document that loses bytes, lists of spans."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(doc_id, text_key, spans) of each document that loses bytes."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = "doc_id long, text_key long, spans binary"
     blocks = docs.mapInArrow(_mark_blocks(n), "grp int, ids binary, keys binary, doc binary, pos binary, hash binary")
-    twins = blocks.repartition(n, "grp").mapInArrow(_with_twins, "doc_id long, text_key long, at binary")
-    twins = scratch.save(twins.groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("ats"), F.sum(F.length("at")).alias("held")))
-    near = docs.join(small_side(twins, F.col("held") + 64), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ats")
+    twins = blocks.repartition(n, "grp").mapInArrow(_with_twins(n), ROUTED).repartition(n, "grp").mapInArrow(_gather, gathered)
+    near = docs.join(scratch.save(twins).hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
     runs = near.mapInArrow(_runs(n), "grp int, " + ", ".join(f"{x} binary" for x in RUN_FIELDS))
-    spans = runs.repartition(n, "grp").mapInArrow(_merge, "doc_id long, text_key long, spans binary")
-    return scratch.save(spans.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("blobs"), F.sum(F.length("spans")).alias("held")))
+    spans = runs.repartition(n, "grp").mapInArrow(_merge(n), ROUTED).repartition(n, "grp").mapInArrow(_gather, gathered)
+    return scratch.save(spans, TEXTS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -431,7 +465,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select(known.alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(docs, scratch)
-    both = docs.join(small_side(spans, F.col("held") + 64), ["doc_id", "text_key"], "left").select("doc_id", "text", "blobs")
+    both = docs.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
     out = both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
