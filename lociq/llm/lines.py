@@ -67,24 +67,25 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES,
 
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with repeated lines gone from text, and n_lines, n_removed, n_runs (maximal removed runs)."""
+    """docs with repeated lines gone from text, and n_lines, n_removed, n_runs (maximal removed runs), which replace columns of their names."""
     scratch = Scratch(docs.sparkSession)
-    key = F.xxhash64("text")
-    runs = repeated_runs(docs.select("doc_id", key.alias("text_key"), "text"), scratch, min_lines, min_chars)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.struct("*").alias("row"))
+    runs = repeated_runs(rows, scratch, min_lines, min_chars)
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list("line"), lambda x: F.sequence(x, x + min_lines - 1)))))
-    lost = scratch.save(runs.groupBy("doc_id", "text_key").agg(covered.alias("lost")).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"}))
-    both = docs.join(small_side(lost, F.size("lost") * 4 + 48), (F.col("doc_id") == F.col("_doc")) & (key == F.col("_key")), "left")
+    lost = scratch.save(runs.groupBy("doc_id", "text_key").agg(covered.alias("lost")))
+    both = rows.join(small_side(lost, F.size("lost") * 4 + 48), ["doc_id", "text_key"], "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    runs_of = F.size(F.array_except("lost", F.transform("lost", lambda x: x + 1)))
-    lost_n = F.coalesce(F.when(F.col("lost").isNotNull(), F.size("lost")), F.lit(0)).cast("long")
-    return both.withColumns({
+    some = lambda x: F.coalesce(F.when(F.col("lost").isNotNull(), x), F.lit(0)).cast("long")
+    made = {
         "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
-        "n_removed": lost_n,
-        "n_runs": F.coalesce(F.when(F.col("lost").isNotNull(), runs_of), F.lit(0)).cast("long"),
-        "text": F.when(F.col("lost").isNull(), F.col("text")).otherwise(text),
-    }).drop("_doc", "_key", "lost")
+        "n_removed": some(F.size("lost")),
+        "n_runs": some(F.size(F.array_except("lost", F.transform("lost", lambda x: x + 1)))),
+    }
+    new_text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(text)
+    passed = [(new_text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in made]
+    return both.select(*passed, *(c.alias(k) for k, c in made.items()))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
