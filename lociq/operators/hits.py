@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.functions.scalars import marker_number, percent, python_round
-from lociq.operators.intervals import greedy_accept, union_length
+from lociq.operators.intervals import greedy_accept
 
 RANKS = ("complete", "very_large", "fragment")
 
@@ -28,9 +28,17 @@ def top_domains(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def targets(hits: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """One row per target: best score, score and qlen of its first line, union length of its top-scoring domains."""
-    facts = hits.groupBy(*keys).agg(F.max("score").alias("best"), F.min_by("score", line).alias("first_score"), F.min_by("qlen", line).alias("qlen"))
-    return facts.join(union_length(top_domains(hits, keys), keys, "hmm_from", "hmm_to"), keys)
+    """One row per target: best score, score and qlen of its first line, union length of its top-scoring domains.
+
+    All of it shares one partitioning by keys, so hits are read and shuffled once.
+    """
+    w = Window.partitionBy(*keys)
+    top = F.col("score") == F.col("best")
+    before = w.orderBy("hmm_from", "hmm_to").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(top, F.col("hmm_to"))).over(before), F.col("hmm_from") - 1)
+    new = F.when(top, F.greatest(F.lit(0), F.col("hmm_to") - F.greatest(reach, F.col("hmm_from") - 1))).otherwise(0)
+    rows = hits.select(*keys, "score", "qlen", "hmm_from", "hmm_to", F.col(line).alias("_line")).withColumn("best", F.max("score").over(w)).withColumn("_new", new.cast("bigint"))
+    return rows.groupBy(*keys).agg(F.max("best").alias("best"), F.min_by("score", "_line").alias("first_score"), F.min_by("qlen", "_line").alias("qlen"), F.sum("_new").alias("matched_length"))
 
 
 def suppress_overlapping_genes(found: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -63,14 +71,18 @@ def upsert_rounds(*rounds: DataFrame, keys: tuple[str, ...] = ("rank", "marker",
 
 
 def resolve_ranks(ranked: DataFrame) -> DataFrame:
-    """very_large without complete's markers and genes; fragment without those of complete and surviving very_large."""
-    of = lambda r: ranked.where(F.col("rank") == r)
-    keys = lambda df, c: df.select(c).distinct()
-    complete = of("complete")
-    large = of("very_large").join(keys(complete, "marker"), "marker", "left_anti").join(keys(complete, "gene"), "gene", "left_anti")
-    higher = complete.select("marker", "gene").union(large.select("marker", "gene"))
-    fragment = of("fragment").join(keys(higher, "marker"), "marker", "left_anti").join(keys(higher, "gene"), "gene", "left_anti")
-    return complete.unionByName(large).unionByName(fragment)
+    """very_large without complete's markers and genes; fragment without those of complete and surviving very_large.
+
+    The anti-joins are existence flags over windows, so the rows are made once
+    and not once for every side of every join.
+    """
+    by = {k: Window.partitionBy(k) for k in ("marker", "gene")}
+    whole, large = F.col("rank") == "complete", F.col("rank") == "very_large"
+    some = lambda flag, k: F.max(flag).over(by[k])
+    out = ranked.withColumn("_m", some(whole, "marker")).withColumn("_g", some(whole, "gene"))
+    out = out.withColumn("_up", whole | (large & ~F.col("_m") & ~F.col("_g")))
+    out = out.withColumn("_ug", some(F.col("_up"), "gene")).withColumn("_um", some(F.col("_up"), "marker"))
+    return out.where(F.col("_up") | ((F.col("rank") == "fragment") & ~F.col("_ug") & ~F.col("_um"))).drop("_m", "_g", "_up", "_ug", "_um")
 
 
 def best_marker_per_gene(ranked: DataFrame, ties: list[Column]) -> DataFrame:

@@ -15,7 +15,7 @@ GENE = "concat(contig, ':', CAST(g_start AS STRING), '-', CAST(g_end AS STRING))
 
 
 def _line() -> Column:
-    return F.struct("l_orderkey", "l_linenumber", "l_suppkey")
+    return F.struct("l_orderkey", "l_linenumber", "l_suppkey", "score")
 
 
 def _ties() -> list[Column]:
@@ -125,7 +125,7 @@ def round_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Two rounds: odd and even line numbers; the second replaces equal (rank, marker, gene)."""
     h, c = _hits(spark, d)
     h = h.withColumns({"gene": F.concat("contig", F.lit(":"), (F.col("g_start") % 300).cast("string")), "rank": F.lit("complete"), "file": F.col("target")})
-    order = F.struct(*KEY)
+    order = F.struct(*KEY, "score")
     parts = [h.where(F.col("l_linenumber") % 2 == k).withColumn("order", order) for k in (1, 0)]
     return H.upsert_rounds(*parts, within="order").select("marker", "gene", "score", *KEY)
 
@@ -180,7 +180,7 @@ _FLOW = (
     with_views("hits", "cutoffs")
     + f""",
 top AS (SELECT *, {GENE} AS gene, max(score) OVER (PARTITION BY marker, target, contig, g_start, g_end, strand) AS best FROM hits),
-facts AS (SELECT marker, target, contig, g_start, g_end, strand, gene, max(best) AS best, min_by(score, ROW(l_orderkey, l_linenumber, l_suppkey)) AS score, min_by(qlen, ROW(l_orderkey, l_linenumber, l_suppkey)) AS qlen
+facts AS (SELECT marker, target, contig, g_start, g_end, strand, gene, max(best) AS best, min_by(score, ROW(l_orderkey, l_linenumber, l_suppkey, score)) AS score, min_by(qlen, ROW(l_orderkey, l_linenumber, l_suppkey, score)) AS qlen
   FROM top GROUP BY ALL),
 pts AS (SELECT DISTINCT marker, target, contig, g_start, g_end, strand, unnest(range(hmm_from, hmm_to + 1)) AS p FROM top WHERE score = best),
 lens AS (SELECT marker, target, contig, g_start, g_end, strand, count(*) AS matched_length FROM pts GROUP BY ALL),
@@ -210,7 +210,7 @@ SQL = {
     "top_domain_filter": with_views("hits") + f" SELECT marker, contig, score, {_KEYS} FROM hits h WHERE score = (SELECT max(score) FROM hits g WHERE g.marker = h.marker AND g.contig = h.contig)",
     "target_facts": with_views("hits") + """, t AS (SELECT *, max(score) OVER (PARTITION BY marker, contig) AS best FROM hits),
 p AS (SELECT DISTINCT marker, contig, unnest(range(hmm_from, hmm_to + 1)) AS x FROM t WHERE score = best), l AS (SELECT marker, contig, count(*) AS matched_length FROM p GROUP BY ALL),
-f AS (SELECT marker, contig, max(score) AS best, min_by(score, ROW(l_orderkey, l_linenumber, l_suppkey)) AS first_score, min_by(qlen, ROW(l_orderkey, l_linenumber, l_suppkey)) AS qlen FROM hits GROUP BY ALL)
+f AS (SELECT marker, contig, max(score) AS best, min_by(score, ROW(l_orderkey, l_linenumber, l_suppkey, score)) AS first_score, min_by(qlen, ROW(l_orderkey, l_linenumber, l_suppkey, score)) AS qlen FROM hits GROUP BY ALL)
 SELECT * FROM f JOIN l USING (marker, contig)""",
     "classify_zeta": _FLOW + "SELECT marker, target, gene, rank, matched_length, round(zeta, 6) AS zeta FROM classed",
     "classify_ratio": _FLOW + "SELECT marker, target, gene, CASE WHEN matched_length >= 0.8 * qlen THEN 'complete' ELSE 'fragment' END AS rank, matched_length FROM passed",
@@ -225,7 +225,7 @@ SELECT * FROM f JOIN l USING (marker, contig)""",
     "incomplete_markers": _FLOW + "SELECT marker FROM statuses WHERE status IN ('Missing', 'Fragmented')",
     "result_table_sorted": _FLOW + "SELECT s.marker, s.status, k.gene, k.score, CAST(k.matched_length AS DOUBLE) AS matched_length, c.description FROM statuses s LEFT JOIN kept k USING (marker) LEFT JOIN cutoffs c USING (marker)",
     "round_upsert": with_views("hits") + f""", h AS (SELECT *, concat(contig, ':', CAST(g_start % 300 AS STRING)) AS gene FROM hits)
-SELECT marker, gene, score, {_KEYS} FROM (SELECT *, row_number() OVER (PARTITION BY marker, gene ORDER BY l_linenumber % 2, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS k FROM h) WHERE k = 1""",
+SELECT marker, gene, score, {_KEYS} FROM (SELECT *, row_number() OVER (PARTITION BY marker, gene ORDER BY l_linenumber % 2, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, score DESC) AS k FROM h) WHERE k = 1""",
     "greedy_target_suppression": _FLOW + """, w AS (SELECT t.*, t.score >= c.cutoff / 4 AS ok FROM targets t JOIN cutoffs c USING (marker)),
 g AS (SELECT list_reduce(list([{'r': ROW(contig, target, g_start, g_end, strand, best), 's': g_start, 'e': g_end, 'ok': ok}] ORDER BY matched_length DESC, best DESC, target),
   lambda a, x: CASE WHEN NOT x[1].ok OR len(list_filter(a, lambda y: y.ok AND y.s <= x[1].e AND x[1].s <= y.e)) > 0 THEN a ELSE list_concat(a, x) END) AS k, marker, contig FROM w GROUP BY marker, contig),

@@ -227,7 +227,7 @@ def short_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def metrics_log(spark: SparkSession, path: str) -> DataFrame:
     """Six figures of an assembly statistics log; of an N/L pair the larger is the length."""
-    after = lambda prefix: F.max(F.when(F.col("line").startswith(prefix), F.trim(F.element_at(F.split("line", ":"), -1))))
+    after = lambda prefix: F.max(F.when(F.col("line").startswith(prefix), F.regexp_replace(F.element_at(F.split("line", ":"), -1), r"^\s+|\s+$", "")))
     larger = lambda c: F.greatest(*(F.trim(F.get(F.split(c, "/"), F.lit(i))).try_cast("bigint") for i in (0, 1)))
     gap = F.max(F.when(F.col("line").startswith("Main genome contig sequence total:"), F.regexp_replace(F.trim(F.element_at(F.split("line", "\t"), -1)), " ?gap$", "")))
     row = lines(spark, path).agg(after("Main genome scaffold total:").alias("n_scaffolds"), after("Main genome contig total:").alias("n_contigs"), after("Main genome scaffold sequence total:").alias("total_length"), gap.alias("gap"), after("Main genome scaffold N/L50:").alias("a"), after("Main genome contig N/L50:").alias("b"))
