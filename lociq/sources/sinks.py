@@ -33,7 +33,7 @@ def write_table(rows: DataFrame, path: str) -> None:
 
 
 def write_list(ids: DataFrame, column: str, path: str) -> None:
-    ids.select(column).orderBy(column).coalesce(1).write.text(path, mode="overwrite")
+    ids.select(column).orderBy(column).coalesce(1).write.mode("overwrite").text(path)
 
 
 def fasta_record(seq_id: Column, seq: Column) -> Column:
