@@ -76,13 +76,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def stack(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     """Places, their rows, and the count of rows."""
     n = np.array([len(s) for s in sets], np.int64)
-    return np.concatenate(sets) if len(sets) else np.zeros(0, np.int32), np.repeat(np.arange(len(sets)), n), len(sets)
+    return np.concatenate(sets) if len(sets) else np.zeros(0, np.int32), np.repeat(np.arange(len(sets), dtype=np.int32), n), len(sets)
 
 
 def telling(at: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Sorted places whose share differs between the classes beyond chance."""
     n1, n0 = y.sum(), (1 - y).sum()
-    with_, without = np.bincount(at, y[row], 1 << BITS), np.bincount(at, 1 - y[row], 1 << BITS)
+    hit = (y == 1)[row]
+    with_, without = np.bincount(at[hit], minlength=1 << BITS), np.bincount(at[~hit], minlength=1 << BITS)
     p = (with_ + without) / (n1 + n0)
     z = (with_ / n1 - without / n0) ** 2 / np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)
     z[with_ + without < MIN_DOCS] = 0
