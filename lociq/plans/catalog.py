@@ -1,8 +1,8 @@
 """Queries of the engine and their SQL."""
 
-from lociq.plans import genes, sequences, status
+from lociq.plans import genes, selections, sequences, status
 
-MODULES = (status, genes, sequences)
+MODULES = (status, genes, selections, sequences)
 
 
 def queries() -> dict:
