@@ -54,13 +54,11 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES,
     run_chars = lambda i: F.aggregate(F.slice("lens", i + 1, min_lines), F.lit(0), lambda acc, x: acc + x)
     each = F.transform("ls", lambda s, i: F.struct(F.unhex(F.md5(s.cast("binary"))).alias("rank"), run_chars(i).alias("chars")))
     ranks = split.select("doc_id", "text_key", F.posexplode(each).alias("line", "x")).select("doc_id", "text_key", "line", "x.*")
-    ranks, depth = scratch.save(ranks), 1
-    ties = scratch.save(_ties(ranks))
-    scratch.drop(ranks)
+    ties, depth = _ties(scratch.save(ranks)), 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
-        old, ties = ties, scratch.save(_ties(_deeper(ties, step)))
-        scratch.drop(old)
+        deeper = _deeper(scratch.save(ties), step)
+        ties = _ties(scratch.save(deeper) if depth + step < min_lines else deeper)
         depth += step
     later = F.struct("doc_id", "line") != F.col("first")
     return ties.where((F.col("chars") >= min_chars) & later).select("doc_id", "text_key", "line")
