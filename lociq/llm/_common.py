@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes that a side may hold to be broadcast; beyond it a join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Narrow rows in a file of a table whose size is known.
+FILE_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +38,14 @@ class Scratch:
         self.base = f"{shared_dir(spark).rstrip('/')}/lociq-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, batch: int | None = None) -> DataFrame:
-        """Writes df and reads it back; batch: most rows that go to Python at a time, for wide rows."""
+    def save(self, df: DataFrame, batch: int | None = None, rows: int | None = None) -> DataFrame:
+        """Writes df and reads it back; batch: most rows that go to Python at a time, for wide rows.
+
+        rows: a bound of df's narrow rows, where one is known; it is then written
+        in files of FILE_ROWS, not in one of each shuffle partition.
+        """
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         path = f"{self.base}/{self.n}"
         self.n += 1
         if batch:
@@ -74,7 +82,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Null ends and loops are left out.  An empty input gives an empty result.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = scratch.save(e.where("u is not null and v is not null and u <> v").distinct())
+    rows = edges.count()
+    e = scratch.save(e.where("u is not null and v is not null and u <> v").distinct(), rows=rows)
     mark = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -82,7 +91,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e, old = scratch.save(small), e
+        e, old = scratch.save(small, rows=2 * rows), e
         scratch.drop(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:

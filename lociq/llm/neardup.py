@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = lambda side: facts.select(F.col("doc_id").alias(side), F.col("size").alias(f"n{side}"), F.col("sig").alias(f"s{side}"))
     sized = met.join(one("b"), "b").join(one("a"), "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
     tried = scratch.save(sized.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
-    sets = scratch.save(_sets_of(scratch.save(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), docs))
+    ids = scratch.save(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), rows=2 * tried.count())
+    sets = scratch.save(_sets_of(ids, docs))
     one = lambda side: sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"x{side}"))
     links = scratch.save(tried.join(one("b"), "b").join(one("a"), "a").select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long"), WIDE)
     scratch.drop(sets)
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tile = ["key", "lo_slice", "hi_slice"]
     whole = lambda df: df.repartition(*tile).sortWithinPartitions(*tile)
     flagged = scratch.save(whole(mixed.join(facts, "doc_id")).mapInArrow(_flag, "key long, lo_slice int, hi_slice int, doc_id long"))
-    ids = scratch.save(flagged.select("doc_id").distinct())
+    ids = scratch.save(flagged.select("doc_id").distinct(), rows=flagged.count())
     if not ids.isEmpty():
         sets = scratch.save(_sets_of(ids, docs))
         full = mixed.join(flagged, [*tile, "doc_id"]).join(facts, "doc_id").join(sets, "doc_id")
