@@ -39,16 +39,22 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words; a blank text has none."""
-    parts = F.split(F.lower(text), r"[\x20\x09-\x0D]+")
-    first = F.when(F.get(parts, F.lit(0)) == "", 2).otherwise(1)
-    last = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
-    return F.slice(parts, first, F.greatest(F.lit(0), last - first + 1))
+def with_words(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, and ws: hashes of the lower-cased words of text; a blank text has none.
+
+    The split is a column of its own, and each word is hashed once, so that
+    neither is done again for every shingle.
+    """
+    p = F.col("_p")
+    first = F.when(F.get(p, F.lit(0)) == "", 2).otherwise(1)
+    last = F.size(p) - F.when(F.element_at(p, -1) == "", 1).otherwise(0)
+    inside = F.slice(p, first, F.greatest(F.lit(0), last - first + 1))
+    parts = rows.select(*keep, F.split(F.lower("text"), r"[\x20\x09-\x0D]+").alias("_p"))
+    return parts.select(*keep, F.transform(inside, lambda w: F.xxhash64(w)).alias("ws"))
 
 
 def shingles(ws: Column, size: int = SHINGLE) -> Column:
-    """Hashes of all runs of size words, in order."""
+    """Hashes of all runs of size words, in order, from the words' hashes."""
     return F.when(F.size(ws) >= size, F.transform(F.sequence(F.lit(1), F.size(ws) - (size - 1)), lambda i: F.xxhash64(*(F.element_at(ws, i + k) for k in range(size))))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -93,14 +99,14 @@ def fingerprint_blocks(fp: Column, near: bool) -> Column:
 def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, similarity, bits): for each document and item it holds, the best window."""
     scratch = Scratch(docs.sparkSession)
-    items = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("ws")).where("size(ws) > 0")
+    items = with_words(items.where("item_id is not null and text is not null"), "item_id").where("size(ws) > 0")
     items = items.select("item_id", F.size("ws").alias("n"), any_shingles(F.col("ws")).alias("sh")).distinct()
     items = scratch.save(items.select("item_id", "n", "sh", counted(F.col("sh")).alias("counted"), simhash(F.col("sh")).alias("fp")))
     places = scratch.save(items.select("n", F.least("n", F.lit(SHINGLE)).alias("size"), F.posexplode("sh").alias("j", "h")).distinct())
 
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     sizes = sorted({SHINGLE} | {r["size"] for r in places.select("size").distinct().collect()})  # at most 5
-    worded = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    worded = with_words(docs, "doc_id")
     hits = []
     for size in sizes:
         sh = worded.select("doc_id", F.size("ws").alias("total"), F.posexplode(shingles(F.col("ws"), size)).alias("i", "h"))
@@ -112,7 +118,8 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = hits.where("total >= n").select("doc_id", "n", inside.alias("start")).distinct()
     windows = scratch.save(windows.groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("wins")))
 
-    near = docs.join(small_side(windows, F.size("wins") * 16 + 48), "doc_id").select("doc_id", words(F.col("text")).alias("ws"), "wins")
+    near = docs.join(small_side(windows, F.size("wins") * 16 + 48), "doc_id")
+    near = with_words(near, "doc_id", "wins")
     cut = near.select("doc_id", F.explode(F.transform("wins", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice("ws", w["start"] + 1, w["n"]).alias("ws")))).alias("w")).select("doc_id", "w.*")
     cut = scratch.save(cut.select("doc_id", "n", "start", any_shingles(F.col("ws")).alias("sh")).distinct())
     prints = cut.select("doc_id", "n", "start", counted(F.col("sh")).alias("counted"), simhash(F.col("sh")).alias("fp"))
