@@ -207,3 +207,17 @@ def test_parasites(spark):
     st = spark.createDataFrame([(f"{i}at2", "Missing" if i < 9 else "Complete") for i in range(20)], "marker string, status string")
     r = hits.parasite_check(st, st.where("status = 'Missing'").select("marker")).first()
     assert r.parasitic and r.n == 11 and r.s_percent == 100.0 and r.m_percent == 0.0
+
+
+def test_same_marker_elimination_equals_the_sequential_rule(spark):
+    r = random.Random(3)
+    rows = [(f"g{i:03d}", "m", f"c{i % 5}", a := r.randint(0, 300), a + r.randint(20, 60), "+", float(r.randint(1, 6))) for i in range(150)]
+    gone = set()
+    for c in {x[2] for x in rows}:
+        part = [x for x in rows if x[2] == c]
+        pairs = [(x, y) for x in part for y in part if x[0] != y[0] and x[3] <= y[3] < x[4] and (x[3] < y[3] or x[0] < y[0]) and x[3] % 3 == y[3] % 3]
+        for x, y in sorted(pairs, key=lambda p: (-max(p[0][6], p[1][6]), p[0][0], p[1][0])):
+            if x[0] not in gone and y[0] not in gone:
+                gone.add(y[0] if x[6] > y[6] else x[0])
+    df = spark.createDataFrame(rows, "gene string, marker string, contig string, low long, high long, strand string, score double")
+    assert {x.gene for x in exons.eliminate_same_marker(df).collect()} == {x[0] for x in rows} - gone
