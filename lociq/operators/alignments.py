@@ -6,8 +6,11 @@ needed protein, cigar and identity.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociq.functions.scalars import cleaned_protein, frameshifts, internal_stops
 from lociq.operators.intervals import islands
@@ -16,30 +19,35 @@ from lociq.operators.intervals import islands
 SHARED = 0.80
 
 
-def overlapping_pairs(alignments: DataFrame, width: int = 100_000) -> DataFrame:
-    """Ordered pairs (i, j) of one contig and marker where j starts or ends inside i, shares more than 80 % of the longer and does not start at 0."""
-    a = islands(alignments, ["contig", "marker"], "start", "end", "island", touching=True)
-    side = lambda p: a.select("contig", "marker", "island", *(F.col(c).alias(f"{p}_{c}") for c in ("aln_id", "start", "end", "score")))
-    both = side("i").join(side("j"), ["contig", "marker", "island"]).where("i_aln_id <> j_aln_id and j_start > 0")
-    inside = "(j_start >= i_start and j_start < i_end) or (j_end > i_start and j_end <= i_end)"
-    shared = F.least("i_end", "j_end") - F.greatest("i_start", "j_start")
-    longer = F.greatest(F.col("i_end") - F.col("i_start"), F.col("j_end") - F.col("j_start"))
-    return both.where(inside).where(shared > SHARED * longer)
+def _suppressed(g: pd.DataFrame) -> pd.DataFrame:
+    """aln_id of the rows of one island that the sequential rule removes; only rows in reach of each other are compared."""
+    g = g.sort_values("aln_id", kind="stable")
+    ids, start, end, score = (g[c].to_numpy() for c in ("aln_id", "start", "end", "score"))
+    size, gone, order = end - start, np.zeros(len(g), bool), np.argsort(start, kind="stable")
+    sorted_start, reach = start[order], size.max()
+    for i in range(len(g)):
+        if gone[i]:
+            continue
+        j = np.sort(order[np.searchsorted(sorted_start, start[i] - reach) : np.searchsorted(sorted_start, end[i])])
+        inside = ((start[j] >= start[i]) & (start[j] < end[i])) | ((end[j] > start[i]) & (end[j] <= end[i]))
+        shared = np.minimum(end[j], end[i]) - np.maximum(start[j], start[i]) > SHARED * np.maximum(size[j], size[i])
+        j = j[inside & shared & ~gone[j] & (start[j] > 0) & (ids[j] != ids[i])]
+        better = np.flatnonzero(score[j] > score[i])
+        gone[j[: better[0]] if len(better) else j] = True
+        gone[i] = len(better) > 0
+    return pd.DataFrame({"aln_id": ids[gone]})
 
 
 def suppress_overlapping(alignments: DataFrame) -> DataFrame:
-    """Alignments left after going through the pairs in file order: of two the lower score goes, j on a tie; what is gone removes nothing."""
-    pairs = overlapping_pairs(alignments)
-    i_loses = F.col("j_score") > F.col("i_score")
-    item = F.struct("i_aln_id", "j_aln_id", i_loses.alias("i_loses"))
-    groups = pairs.groupBy("contig", "marker", "island").agg(F.sort_array(F.collect_list(item)).alias("xs"))
-    none = F.transform(F.slice("xs", 1, 0), lambda x: x["i_aln_id"])
-
-    def step(acc, x):
-        gone = F.array_contains(acc, x["i_aln_id"]) | F.array_contains(acc, x["j_aln_id"])
-        return F.when(gone, acc).otherwise(F.array_append(acc, F.when(x["i_loses"], x["i_aln_id"]).otherwise(x["j_aln_id"])))
-
-    removed = groups.select(F.explode(F.aggregate("xs", none, step)).alias("aln_id"))
+    """Alignments left after going through the pairs in file order: of two the lower score goes, j on a tie; what is gone removes nothing.
+
+    A pair (i, j) is of one contig and marker; j starts or ends inside i,
+    shares more than 80 % of the longer and does not start at 0.  The pairs of
+    an island are never made: their number grows with the square of its depth.
+    """
+    held = alignments.select("aln_id", "contig", "marker", "start", "end", "score").where("aln_id is not null and contig is not null and marker is not null and start is not null and end is not null")
+    groups = islands(held, ["contig", "marker"], "start", "end", "island", touching=True).groupBy("contig", "marker", "island")
+    removed = groups.applyInPandas(_suppressed, T.StructType([alignments.schema["aln_id"]]))
     return alignments.join(removed, "aln_id", "left_anti")
 
 
