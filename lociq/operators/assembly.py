@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lociq.functions.scalars import six_frames
+from lociq.functions.scalars import AMINO_ACIDS, BASES, COMPLEMENTS
 
 #: Nucleotides with ambiguity codes, letters looked at.
 NUCLEOTIDES, LETTERS, RECORDS = "ACTGNYRWSKMDVHB", 5001, 11
@@ -14,6 +19,11 @@ AMINO_LETTERS = "FLIMVSPTAYXHQNKDECWRG*"
 #: What a header must not hold anywhere, and what its first word must not hold.
 FORBIDDEN = ("ç", "¬", "¢", "´", "ê", "î", "ô", "ŵ", "ẑ", "û", "â", "ŝ", "ĝ", "ĥ", "ĵ", "ŷ", "ĉ", "é", "ï", "ẅ", "ë", "ẗ,", "ü", "í", "ö", "ḧ", "ÿ", "ẍ", "è", "à", "ä", "¨", "€", "£", "á")
 FORBIDDEN_IN_ID = ("/", '"')
+#: Sequences translated at a time; frames; digits of the bases (64: none), and the letters of the codons, in the genetic code's order.
+SLICE, FRAMES = 256, np.array([1, 2, 3, -1, -2, -3])
+CODES, PLACES = np.full(256, 64), np.array([16, 4, 1])
+CODES[[ord(c) for c in "TCAGUtcagu"]] = [0, 1, 2, 3, 0] * 2
+AMINO = np.frombuffer((AMINO_ACIDS.replace("*", "X") + "X").encode(), np.uint8)
 
 
 def n50(lengths: DataFrame, keys: list[str], length: str, name: str) -> DataFrame:
@@ -59,9 +69,28 @@ def header_audit(headers: DataFrame, keys: list[str], header: str = "header") ->
     return per_id.groupBy(*keys).agg(F.sum("n").alias("n_headers"), F.sum("bad").alias("n_forbidden"), F.sum("spaced").alias("n_spaced"), F.count_if(F.col("n") > 1).alias("n_repeated_ids"))
 
 
+def _six_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    complement = str.maketrans(BASES, COMPLEMENTS)
+    for b in batches:
+        for at in range(0, len(b), SLICE):
+            part, proteins = b.slice(at, SLICE), []
+            for s in part.column(part.schema.get_field_index("seq")).to_pylist():
+                for x in (s, s and s[::-1].translate(complement)):
+                    if x is None:
+                        proteins += [None] * 3
+                        continue
+                    code = CODES[np.frombuffer(x.encode("latin-1", "replace"), np.uint8)]
+                    for k in range(3):
+                        codon = code[k : k + max(0, len(code) - k) // 3 * 3].reshape(-1, 3) @ PLACES
+                        proteins.append(AMINO[np.minimum(codon, 64)].tobytes().decode())
+            rows = part.take(pa.array(np.repeat(np.arange(len(part)), 6)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.tile(FRAMES, len(part)), pa.int32()), pa.array(proteins, pa.string())], names=[*rows.schema.names, "frame", "protein"])
+
+
 def translations(seqs: DataFrame) -> DataFrame:
-    """A row per sequence and frame (1, 2, 3, -1, -2, -3)."""
-    return seqs.withColumn("_f", F.explode(six_frames(F.col("seq")))).select("*", "_f.frame", "_f.protein").drop("_f")
+    """A row per sequence and frame (1, 2, 3, -1, -2, -3), by the rule of functions.six_frames; whole codons are looked up together."""
+    added = T.StructType([T.StructField("frame", T.IntegerType()), T.StructField("protein", T.StringType())])
+    return seqs.mapInArrow(_six_frames, T.StructType([*seqs.schema.fields, *added.fields]))
 
 
 def coding_density(genes: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,8 +30,7 @@ def fasta_header_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def six_frame_translation(spark: SparkSession, d: str) -> DataFrame:
-    short = view(spark, d, "dna").withColumn("seq", F.substring("seq", 1, 120))  # each sequence's own first bases: the feature shown, not a cap on rows
-    return S.translations(short).select("seq_id", "frame", "protein")
+    return S.translations(view(spark, d, "dna")).select("seq_id", "frame", "protein")
 
 
 def cigar_frameshifts(spark: SparkSession, d: str) -> DataFrame:

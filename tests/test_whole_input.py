@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from lociq.functions.scalars import six_frames
+from lociq.operators import assembly
 from lociq.plans import catalog
 
 
@@ -58,3 +60,27 @@ def test_same_marker_elimination_sees_all_alignments(spark, events):
         want |= {str(x[0]) for x in group} - {str(g) for g in gone}
     got = [x.gene for x in catalog.queries()["same_marker_elimination"](spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == want and max(map(int, want)) >= 4000
+
+
+def test_six_frame_translation_sees_whole_sequences(spark, tmp_path):
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefgh ijk\n") for _ in range(n)) for n in (0, 1, 2, 3, 119, 120, 121, 122, 300, 5000)]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    code = dict(zip((a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"), "FFLLSSSSYYXXCCXWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", strict=True))
+    want = {}
+    for i, t in enumerate(texts):
+        seq = "".join("ACGTNACGTACGTNACGTACGTACGT"[ord(c) - 97] for c in t if c.isalpha())
+        for sign, s in ((1, seq), (-1, seq[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+            for k in range(3):
+                want[i, sign * (k + 1)] = "".join(code.get(s[j : j + 3], "X") for j in range(k, len(s) - 2, 3))
+    got = catalog.queries()["six_frame_translation"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(x.seq_id, x.frame): x.protein for x in got} == want and max(map(len, want.values())) > 1000
+
+
+def test_translations_equal_the_scalar_rule(spark):
+    rows = [(i, s) for i, s in enumerate(["acgu UUacg", "ACGTRYKMBVDHNacgtn" * 3, None, "", "é😀TTTACGéACG", "ac", "éACG,ACGGTU\nACG"])]
+    df = spark.createDataFrame(rows, "k long, seq string")
+    want = df.selectExpr("*").select("k", "seq", six_frames(df.seq).alias("f")).selectExpr("k", "seq", "explode(f) f").selectExpr("k", "seq", "f.frame", "f.protein")
+    got = assembly.translations(df)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
