@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated runs of lines; a document that was nothing else goes."""
-    rows = lines.drop_repeated_lines(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    rows = lines.drop_repeated_lines(docs.select("doc_id", "text", F.struct("*").alias("row")), line_chars=lines.MIN_CHARS)
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

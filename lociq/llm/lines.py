@@ -11,7 +11,9 @@ neighbours share that many lines at least; chained along a document they are
 the maximal repeated runs.  The first position of an interval in the order
 (doc_id, line) stays, later ones lose their lines.  A run counts only if its
 MIN_LINES lines hold MIN_CHARS characters together, so that short lines that
-meet by chance stay.
+meet by chance stay.  With line_chars, a run of one line counts too if the line
+holds so many characters: a passage on one line goes whatever its neighbours
+are.  op4 and the pipeline set it to MIN_CHARS.
 
 Ranks are 128-bit digests of the pair instead of dense numbers: they order the
 suffixes as well as any numbering of an unordered alphabet and need no global
@@ -47,29 +49,34 @@ def _deeper(ranks: DataFrame, step: int) -> DataFrame:
     return both.select("doc_id", "text_key", "line", F.unhex(F.md5(F.concat("rank", "next"))).alias("rank"), "chars")
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text_key, line): where runs of min_lines lines start that also start earlier."""
+def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, line_chars: int | None = None) -> DataFrame:
+    """(doc_id, text_key, line, size): where runs of min_lines lines start that also start earlier, and runs of one line of line_chars characters."""
     split = docs.where("doc_id is not null and text is not null").select("doc_id", "text_key", F.split("text", "\n").alias("ls"))
     split = split.withColumn("lens", F.transform("ls", F.length))
     run_chars = lambda i: F.aggregate(F.slice("lens", i + 1, min_lines), F.lit(0), lambda acc, x: acc + x)
-    each = F.transform("ls", lambda s, i: F.struct(F.unhex(F.md5(s.cast("binary"))).alias("rank"), run_chars(i).alias("chars")))
+    each = F.transform("ls", lambda s, i: F.struct(F.unhex(F.md5(s.cast("binary"))).alias("rank"), run_chars(i).alias("chars"), F.get("lens", i).alias("own")))
     ranks = split.select("doc_id", "text_key", F.posexplode(each).alias("line", "x")).select("doc_id", "text_key", "line", "x.*")
     ties, depth = _ties(scratch.save(ranks)), 1
+    later = F.struct("doc_id", "line") != F.col("first")
+    alone = None
+    if line_chars is not None:
+        ties = scratch.save(ties)
+        alone = ties.where((F.col("own") >= line_chars) & later).select("doc_id", "text_key", "line", F.lit(1).alias("size"))
     while depth < min_lines:
         step = min(depth, min_lines - depth)
-        deeper = _deeper(scratch.save(ties), step)
+        deeper = _deeper(ties if alone is not None and depth == 1 else scratch.save(ties), step)
         ties = _ties(scratch.save(deeper) if depth + step < min_lines else deeper)
         depth += step
-    later = F.struct("doc_id", "line") != F.col("first")
-    return ties.where((F.col("chars") >= min_chars) & later).select("doc_id", "text_key", "line")
+    runs = ties.where((F.col("chars") >= min_chars) & later).select("doc_id", "text_key", "line", F.lit(min_lines).alias("size"))
+    return runs if alone is None else runs.union(alone)
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, line_chars: int | None = None) -> DataFrame:
     """docs with repeated lines gone from text, and n_lines, n_removed, n_runs (maximal removed runs), which replace columns of their names."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.struct("*").alias("row"))
-    runs = repeated_runs(rows, scratch, min_lines, min_chars)
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list("line"), lambda x: F.sequence(x, x + min_lines - 1)))))
+    runs = repeated_runs(rows, scratch, min_lines, min_chars, line_chars)
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("line", "size")), lambda x: F.sequence(x["line"], x["line"] + x["size"] - 1)))))
     lost = scratch.save(runs.groupBy("doc_id", "text_key").agg(covered.alias("lost")))
     both = rows.join(small_side(lost, F.size("lost") * 4 + 48), ["doc_id", "text_key"], "left")
     lines = F.split("text", "\n")
@@ -87,7 +94,7 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), line_chars=MIN_CHARS)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
