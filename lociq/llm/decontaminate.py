@@ -5,15 +5,16 @@ shingles; an item of fewer words is one shingle of its own length.  A document
 holds an item if a window of as many words as the item has a weighted Jaccard
 similarity of at least 0.75 with it; a shingle weighs as often as it occurs.
 
-1. Such a window shares shingles with the item.  One pass over the texts joins
-   their shingles with those of the items; each hit (place in the text, place
-   in the item) proposes the window that lines the two up.  Only these windows
-   are looked at further: no text is compared in all its windows.
+1. Such a window shares shingles with the item: of a shingles in the window and
+   b in the item, 3/7 (a + b) at least, as both / (a + b - both) >= 3/4.  One
+   pass over the texts joins their shingles with those of the items; all
+   windows in which so many places are hit by items of their size are looked
+   at further, and no others: a window with fewer can't reach the similarity.
 2. Each window and item gets a 64-bit SimHash.  Eight blocks of eight bits are
    indexed; an item is filed in each block under all values within two bits,
    so that by the pigeonhole principle every window within RADIUS = 23 bits
-   meets it in some block.  The index is keyed by the count of words too:
-   windows meet only items of their size.
+   meets it in some block.  The index is keyed by the item's count of words
+   too: windows meet only items for whose size they were cut.
 3. Pairs within the radius are verified by the exact weighted similarity.
 
 At similarity 0.75 the fingerprints differ in 11 bits on average, with a
@@ -102,7 +103,7 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = with_words(items.where("item_id is not null and text is not null"), "item_id").where("size(ws) > 0")
     items = items.select("item_id", F.size("ws").alias("n"), any_shingles(F.col("ws")).alias("sh")).distinct()
     items = scratch.save(items.select("item_id", "n", "sh", counted(F.col("sh")).alias("counted"), simhash(F.col("sh")).alias("fp")))
-    places = scratch.save(items.select("n", F.least("n", F.lit(SHINGLE)).alias("size"), F.posexplode("sh").alias("j", "h")).distinct())
+    places = scratch.save(items.select("n", F.least("n", F.lit(SHINGLE)).alias("size"), F.explode("sh").alias("h")).distinct())
 
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     sizes = sorted({SHINGLE} | {r["size"] for r in places.select("size").distinct().collect()})  # at most 5
@@ -110,17 +111,22 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = []
     for size in sizes:
         sh = worded.select("doc_id", F.size("ws").alias("total"), F.posexplode(shingles(F.col("ws"), size)).alias("i", "h"))
-        at = places.where(F.col("size") == size).select("n", "j", "h")
-        hits.append(sh.join(small_side(at, F.lit(24)), "h").select("doc_id", "total", "n", (F.col("i") - F.col("j")).alias("start")))
-    hits = reduce(DataFrame.union, hits)
-    # a window hangs over neither end: moved inside, and left out of shorter texts
-    inside = F.greatest(F.lit(0), F.least("start", F.col("total") - F.col("n")))
-    windows = hits.where("total >= n").select("doc_id", "n", inside.alias("start")).distinct()
-    windows = scratch.save(windows.groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("wins")))
+        at = places.where(F.col("size") == size).select("n", "size", "h")
+        hits.append(sh.join(small_side(at, F.lit(24)), "h").select("doc_id", "total", "n", "size", "i"))
+    hits = reduce(DataFrame.union, hits).groupBy("doc_id", "total", "n", "size").agg(F.array_sort(F.collect_set("i")).alias("at"))
+    # from the k-th hit on, so many needed: all starts whose windows hold them
+    length = F.least("total", "n")
+    of_window, of_item = length - F.col("size") + 1, F.col("n") - F.col("size") + 1
+    hits = hits.select("doc_id", "total", "n", "at", length.alias("length"), of_window.alias("of_window"), F.ceil((of_window + of_item) * 3 / 7).cast("int").alias("needed")).where("size(at) >= needed and total >= n")
+    low = lambda k: F.greatest(F.lit(0), F.get("at", k + F.col("needed") - 1) - F.col("of_window") + 1)
+    high = lambda k: F.least(F.get("at", k), F.col("total") - F.col("length"))
+    starts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("needed")), lambda k: F.when(low(k) <= high(k), F.sequence(low(k), high(k))).otherwise(F.array().cast("array<int>"))))
+    windows = hits.select("doc_id", F.transform(F.array_distinct(starts), lambda s: F.struct("total", "n", s.alias("start"))).alias("wins")).where("size(wins) > 0")
+    windows = scratch.save(windows.groupBy("doc_id").agg(F.flatten(F.collect_list("wins")).alias("wins")))
 
     near = docs.join(small_side(windows, F.size("wins") * 16 + 48), "doc_id")
     near = with_words(near, "doc_id", "wins")
-    cut = near.select("doc_id", F.explode(F.transform("wins", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice("ws", w["start"] + 1, w["n"]).alias("ws")))).alias("w")).select("doc_id", "w.*")
+    cut = near.select("doc_id", F.explode(F.transform(F.filter("wins", lambda w: w["total"] == F.size("ws")), lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice("ws", w["start"] + 1, w["n"]).alias("ws")))).alias("w")).select("doc_id", "w.*")
     cut = scratch.save(cut.select("doc_id", "n", "start", any_shingles(F.col("ws")).alias("sh")).distinct())
     prints = cut.select("doc_id", "n", "start", counted(F.col("sh")).alias("counted"), simhash(F.col("sh")).alias("fp"))
 

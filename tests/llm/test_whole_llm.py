@@ -37,3 +37,45 @@ def test_long_lines_go_whatever_their_neighbours_are(spark, tmp_path):
     assert {x.doc_id: (x.n_removed, x.n_runs) for x in query} == {d: w[1:] for d, w in want.items()}
     kept = corpus_pipeline.drop_lines(spark, docs(spark, texts), str(tmp_path)).collect()
     assert {x.doc_id: x.text for x in kept} == {d: want[d][0] for d, t in enumerate(texts) if want[d][1] < len(t.split("\n"))}
+
+
+def bag(w, size=5):
+    return collections.Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else collections.Counter([tuple(w)])
+
+
+def similarity(a, b):
+    return sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values())
+
+
+def vocabulary(r, n):
+    return ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+
+def check_items(spark, texts, items):
+    """find_items against all item-sized windows of each text, or the whole of a shorter one."""
+    want = {}
+    for d, w in enumerate(texts):
+        for i, x in enumerate(items):
+            best = max(similarity(w[s : s + len(x)], x) for s in range(max(1, len(w) - len(x) + 1))) if len(w) >= len(x) else 0
+            if best >= 0.75:
+                want[d, i] = best
+    found = decontaminate.find_items(docs(spark, [" ".join(w) for w in texts]), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id): x for x in found}
+    assert got.keys() == want.keys() and len(got) == len(found)
+    for (d, i), x in got.items():
+        assert abs(x.similarity - want[d, i]) < 1e-12
+        assert abs(similarity(texts[d][x.start_word : x.start_word + len(items[i])], items[i]) - want[d, i]) < 1e-12
+    return want
+
+
+def test_best_window_between_two_alignments_is_found(spark):
+    r = random.Random(11)
+    texts, items = [], []
+    for n in range(44, 58):
+        x = vocabulary(r, n)
+        items.append(x)
+        edited = ["first", *x[1 : n // 2], "two", "more", *x[n // 2 : -1], "last"]
+        texts.append(vocabulary(r, 30) + edited + vocabulary(r, 30))
+        texts.append(edited)
+    want = check_items(spark, texts, items)
+    assert {(2 * (n - 44), n - 44) for n in range(46, 53)} <= want.keys()
