@@ -5,6 +5,8 @@ shingles; an item of fewer words is one shingle of its own length.  A document
 holds an item if a window of as many words as the item has a weighted Jaccard
 similarity of at least 0.75 with it; a shingle weighs as often as it occurs.
 
+A text with fewer words than the item is one window, the whole of it.
+
 1. Such a window shares shingles with the item: of a shingles in the window and
    b in the item, 3/7 (a + b) at least, as both / (a + b - both) >= 3/4.  One
    pass over the texts joins their shingles with those of the items; all
@@ -117,7 +119,7 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     # from the k-th hit on, so many needed: all starts whose windows hold them
     length = F.least("total", "n")
     of_window, of_item = length - F.col("size") + 1, F.col("n") - F.col("size") + 1
-    hits = hits.select("doc_id", "total", "n", "at", length.alias("length"), of_window.alias("of_window"), F.ceil((of_window + of_item) * 3 / 7).cast("int").alias("needed")).where("size(at) >= needed and total >= n")
+    hits = hits.select("doc_id", "total", "n", "at", length.alias("length"), of_window.alias("of_window"), F.ceil((of_window + of_item) * 3 / 7).cast("int").alias("needed")).where("size(at) >= needed")
     low = lambda k: F.greatest(F.lit(0), F.get("at", k + F.col("needed") - 1) - F.col("of_window") + 1)
     high = lambda k: F.least(F.get("at", k), F.col("total") - F.col("length"))
     starts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("needed")), lambda k: F.when(low(k) <= high(k), F.sequence(low(k), high(k))).otherwise(F.array().cast("array<int>"))))

@@ -56,7 +56,7 @@ def check_items(spark, texts, items):
     want = {}
     for d, w in enumerate(texts):
         for i, x in enumerate(items):
-            best = max(similarity(w[s : s + len(x)], x) for s in range(max(1, len(w) - len(x) + 1))) if len(w) >= len(x) else 0
+            best = max(similarity(w[s : s + len(x)], x) for s in range(max(1, len(w) - len(x) + 1)))
             if best >= 0.75:
                 want[d, i] = best
     found = decontaminate.find_items(docs(spark, [" ".join(w) for w in texts]), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
@@ -79,3 +79,11 @@ def test_best_window_between_two_alignments_is_found(spark):
         texts.append(edited)
     want = check_items(spark, texts, items)
     assert {(2 * (n - 44), n - 44) for n in range(46, 53)} <= want.keys()
+
+
+def test_texts_shorter_than_the_item_are_found(spark):
+    r = random.Random(12)
+    x, y, tiny = vocabulary(r, 50), vocabulary(r, 9), vocabulary(r, 3)
+    texts = [x[:-1], x[1:], x[:40], x[:39], x[:38], x[:37], x[:4], y[:-1], y[:-2], tiny[:2], tiny, x[:20] + ["new"] + x[20:45]]
+    want = check_items(spark, texts, [x, y, tiny])
+    assert want[0, 0] == 45 / 46 and (3, 0) in want and (4, 0) not in want and (10, 2) in want
