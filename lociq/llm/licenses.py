@@ -1,7 +1,8 @@
 """License scan: MinHash bands over overlapping windows retrieve templates, containment verifies.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased;
-shingles are five words (a shorter template is one shingle).  A template of T
+shingles are five words.  A template of fewer words is one shingle of its own
+length, and texts are looked through for runs of so many words.  A template of T
 shingles is filed under the MinHash bands of all its windows of W shingles,
 W = 1, 2, 4 or 8 as T grows (below 8, 16, 64, above).  A text is cut into
 windows of each W that overlap by half.  Four hash functions make two bands of
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.llm._common import table
-from lociq.llm._text import SHINGLE, U, mix, pieces, shingles
+from lociq.llm._text import _MULTIPLIERS, SHINGLE, U, mix, pieces, shingles, words
 
 CONTAINMENT = 75  # per cent
 #: Names of licenses, as notices write them.
@@ -93,6 +94,18 @@ def plain_shingles(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.nda
         yield rows, *shingles(_PLAIN[data], off)
 
 
+def short_runs(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of size words within a text, in order, and where each text's begin (and the end)."""
+    w, at = words(_PLAIN[data], off)
+    n = np.maximum(np.diff(at) - size + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    first = np.arange(begin[-1]) - np.repeat(begin[:-1], n) + np.repeat(at[:-1], n)
+    out = np.full(begin[-1], _MULTIPLIERS[-1] * U(size))
+    for k in range(size):
+        out += w[first + k] * _MULTIPLIERS[k]
+    return mix(out), begin
+
+
 def width(n: int) -> int:
     return 1 if n < 8 else 2 if n < 16 else 4 if n < 64 else 8
 
@@ -122,6 +135,14 @@ class Index:
         self.keys = np.array([k for k, _ in held], U)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.of = self.keys[order], np.array([i for _, i in held])[order]
+        #: By count of words: the one shingle of each shorter template, sorted, and the template of each.
+        self.short = {}
+        for rows, data, off in pieces(pa.array([t for _, _, t in self.names])):
+            n = np.diff(words(_PLAIN[data], off)[1])
+            for size in sorted({int(x) for x in n if 0 < x < SHINGLE}):
+                of = np.flatnonzero(n == size) + rows.start
+                h = np.array([self.sets[i][0] for i in of], U)
+                self.short[size] = (h[np.argsort(h)], of[np.argsort(h)])
         self.widths = tuple(sorted({width(len(s)) for s in self.sets}))
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.keys >> U(64 - _TABLE_BITS)).astype(np.int64)] = True
@@ -141,12 +162,28 @@ class Index:
         return np.unique(np.concatenate(found), axis=0)
 
 
+    def short_matches(self, data: np.ndarray, off: np.ndarray) -> set[tuple[int, int]]:
+        """(row, template) of templates of fewer words than a shingle that a text holds."""
+        found = set()
+        for size, (wanted, of) in self.short.items():
+            h, begin = short_runs(data, off, size)
+            lo, hi = np.searchsorted(wanted, h), np.searchsorted(wanted, h, side="right")
+            at = np.flatnonzero(hi > lo)
+            for row, a, b in zip(np.searchsorted(begin, at, side="right") - 1, lo[at], hi[at], strict=True):
+                found |= {(int(row), int(t)) for t in of[a:b]}
+        return found
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = Index()
     for b in batches:
-        for rows, h, begin in plain_shingles(b.column(1)):
-            out = []
+        for rows, data, off in pieces(b.column(1)):
+            h, begin = shingles(_PLAIN[data], off)
+            short = index.short_matches(data, off)
+            out = [(rows.start + row, t, 1, 1) for row, t in sorted(short)]
             for row, t in index.candidates(h, begin).tolist():
+                if (row, t) in short:
+                    continue
                 want = index.sets[t]
                 n = int(np.isin(want, h[begin[row] : begin[row + 1]]).sum())
                 if 100 * n >= CONTAINMENT * len(want):

@@ -87,3 +87,14 @@ def test_texts_shorter_than_the_item_are_found(spark):
     texts = [x[:-1], x[1:], x[:40], x[:39], x[:38], x[:37], x[:4], y[:-1], y[:-2], tiny[:2], tiny, x[:20] + ["new"] + x[20:45]]
     want = check_items(spark, texts, [x, y, tiny])
     assert want[0, 0] == 45 / 46 and (3, 0) in want and (4, 0) not in want and (10, 2) in want
+
+
+def test_short_license_templates_are_found_inside_texts(spark):
+    short = ["Licensed under MIT License", "Released under MIT License", "Licensed under ISC License", "Released under ISC License"]
+    texts = [x for t in short for x in (t, f"Some words first. {t.upper()}.", f"{t}, and so on", f"a {t} b", t.replace("under", "under the"), t.rpartition(" ")[0])]
+    texts += [None, "", "x", "Released under", "MIT License"]
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
+    want = {(d, t) for d, x in enumerate(texts) for t in short if f" {plain(t)} " in f" {plain(x)} "}
+    got = [(x.doc_id, x.template.partition(": ")[2], x.n_matched, x.n_template) for x in licenses.scan(docs(spark, texts)).collect()]
+    got = [x for x in got if x[1] in short]
+    assert len(want) == 16 and sorted(got) == sorted((*x, 1, 1) for x in want)
