@@ -84,3 +84,11 @@ def test_translations_equal_the_scalar_rule(spark):
     got = assembly.translations(df)
     assert got.columns == want.columns and got.dtypes == want.dtypes
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_line_ranges_are_made_of_every_event(spark, events):
+    d, rows = events
+    ids = {x[0] for x in rows}
+    want = {(i, n) for i, user, *_ in rows for n in range(i, i + user % 40) if n in ids}
+    got = [(x.gene, x.line_no) for x in catalog.queries()["gff_line_ranges"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want and len({g for g, _ in got}) > 4000
