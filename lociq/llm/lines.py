@@ -13,7 +13,8 @@ the maximal repeated runs.  The first position of an interval in the order
 MIN_LINES lines hold MIN_CHARS characters together, so that short lines that
 meet by chance stay.  With line_chars, a run of one line counts too if the line
 holds so many characters: a passage on one line goes whatever its neighbours
-are.  op4 and the pipeline set it to MIN_CHARS.
+are.  op4 sets it to MIN_CHARS; the pipeline does not, since a near copy that
+has lost one long line is no longer near enough for the stage after it.
 
 Ranks are 128-bit digests of the pair instead of dense numbers: they order the
 suffixes as well as any numbering of an unordered alphabet and need no global

@@ -3,7 +3,6 @@
 import collections
 import random
 
-import corpus_pipeline
 from lociq.llm import decontaminate, licenses, lines
 
 LONG = "one passage of well over forty characters that many pages hold"
@@ -35,8 +34,6 @@ def test_long_lines_go_whatever_their_neighbours_are(spark, tmp_path):
     assert {x.doc_id: (x.text, x.n_removed, x.n_runs) for x in got} == want and want[1][0] == "a\nb" and want[5][0] == ""
     query = lines.op4_line_dedup(spark, str(tmp_path)).collect()
     assert {x.doc_id: (x.n_removed, x.n_runs) for x in query} == {d: w[1:] for d, w in want.items()}
-    kept = corpus_pipeline.drop_lines(spark, docs(spark, texts), str(tmp_path)).collect()
-    assert {x.doc_id: x.text for x in kept} == {d: want[d][0] for d, t in enumerate(texts) if want[d][1] < len(t.split("\n"))}
 
 
 def bag(w, size=5):
