@@ -180,6 +180,12 @@ SELECT contig, CAST(k AS BIGINT) AS island, count(*) AS n, min(start) AS low, ma
   WHERE least(i."end", j."end") - greatest(i.start, j.start) > 0.8 * greatest(i."end" - i.start, j."end" - j.start)),
 g AS (SELECT contig, list_reduce(list_concat([[CAST(-1 AS BIGINT)]], list([a, b, loser] ORDER BY a, b)), lambda acc, x: CASE WHEN list_contains(acc, x[1]) OR list_contains(acc, x[2]) THEN acc ELSE list_append(acc, x[3]) END) AS gone FROM pr GROUP BY contig),
 u AS (SELECT unnest(gone) AS aln_id FROM g) SELECT aln_id, contig, start, "end" FROM alignments WHERE aln_id NOT IN (SELECT aln_id FROM u)""",
+    "same_marker_elimination": with_views("alignments") + """, x AS (SELECT *, CAST(aln_id AS VARCHAR) AS gene FROM alignments),
+pr AS (SELECT a.contig, a.gene AS a, b.gene AS b, greatest(a.score, b.score) AS best, CASE WHEN a.score > b.score THEN b.gene ELSE a.gene END AS loser
+  FROM x a JOIN x b ON a.contig = b.contig AND a.aln_id <> b.aln_id AND a.start <= b.start AND b.start < a."end" AND (a.start < b.start OR a.gene < b.gene) AND a.start % 3 = b.start % 3),
+g AS (SELECT contig, list_reduce(list_concat([['']], list([a, b, loser] ORDER BY best DESC, a, b)), lambda acc, p: CASE WHEN list_contains(acc, p[1]) OR list_contains(acc, p[2]) THEN acc ELSE list_append(acc, p[3]) END) AS gone FROM pr GROUP BY contig),
+u AS (SELECT unnest(gone) AS gene FROM g)
+SELECT gene, marker, contig, start AS low, "end" AS high, '+' AS strand, score FROM x WHERE gene NOT IN (SELECT gene FROM u)""",
     "region_accumulate": with_views("far_regions") + _ACC + 'SELECT marker, contig, start, "end", evalue, len(spans) AS n_spans FROM acc',
     "region_merge_sum": with_views("regions") + _MERGED("regions", "marker, contig") + "SELECT * FROM sz",
     "topk_regions": with_views("regions") + " SELECT marker, contig, event_id, evalue FROM (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY evalue, event_id) AS k FROM regions) WHERE k <= 3",

@@ -91,7 +91,7 @@ SQL = {
     "incomplete_targets": with_views("hits", "cutoffs") + f" SELECT marker AS target, {_K} FROM hits WHERE marker IN {_ODD}",
     "not_retrieved": with_views("hits", "cutoffs") + " SELECT marker FROM cutoffs WHERE marker NOT IN (SELECT marker FROM hits WHERE g_end - g_start > 2900)",
     "contig_selection": with_views("hits") + f" SELECT contig AS seq_id, {_K} FROM hits WHERE contig IN (SELECT contig FROM hits WHERE score > 104000)",
-    "gff_line_ranges": "SELECT a.event_id AS gene, b.event_id AS line_no FROM events a JOIN events b ON b.event_id >= a.event_id AND b.event_id < a.event_id + a.user_id % 40 WHERE a.event_id % 97 = 0",
+    "gff_line_ranges": "SELECT a.event_id AS gene, b.event_id AS line_no FROM events a JOIN events b ON b.event_id >= a.event_id AND b.event_id < a.event_id + a.user_id % 40",
     "region_ordinals": with_views("regions") + ' SELECT marker, event_id, "end" - start AS size, row_number() OVER (PARTITION BY marker ORDER BY "end" - start DESC, event_id) AS ordinal FROM regions',
     "job_order": with_views("regions") + ' SELECT marker, event_id, "end" - start AS size FROM regions',
     "gene_details_upsert": with_views("hits") + """, h AS (SELECT contig AS gene, l_linenumber % 2 AS round, max(score) AS score, max(g_end) AS g_end FROM hits GROUP BY ALL),

@@ -68,8 +68,7 @@ QUERIES = {f.__name__: f for f in (assembly_metrics, alphabet_check, fasta_heade
 
 _N50 = lambda src, name: f"""(SELECT input, min(len) AS {name} FROM (SELECT input, len, sum(len) OVER (PARTITION BY input ORDER BY len DESC, i) AS r, sum(len) OVER (PARTITION BY input) AS t, sum(len) OVER (PARTITION BY input ORDER BY len DESC, i) - len AS before FROM {src}) WHERE before * 2 < t GROUP BY input)"""
 _CODONS = "map([" + ", ".join(f"'{a}{b}{c}'" for a in "TCAG" for b in "TCAG" for c in "TCAG") + "], [" + ", ".join(f"'{x}'" for x in X.AMINO_ACIDS.replace("*", "X")) + "])"
-_TR = lambda s: f"array_to_string(list_transform(range(0, length({s}) // 3), lambda i: coalesce({_CODONS}[substr({s}, CAST(i * 3 + 1 AS BIGINT), 3)], 'X')), '')"
-_TR2 = lambda s: f"array_to_string(list_transform(regexp_extract_all({s}, '...'), lambda c: coalesce({_CODONS}[c], 'X')), '')"
+_TR = lambda s: f"array_to_string(list_transform(regexp_extract_all({s}, '...'), lambda c: coalesce({_CODONS}[c], 'X')), '')"
 SQL = {
     "assembly_metrics": with_views("dna") + f""", sc AS (SELECT input, seq_id AS i, length(seq) AS len, length(regexp_replace(seq, '[^N]', '', 'g')) AS n FROM dna),
 ct AS (SELECT input, row_number() OVER () AS i, length(p) AS len FROM (SELECT input, unnest(regexp_split_to_array(seq, 'NN+')) AS p FROM dna) WHERE length(p) > 0),
@@ -85,12 +84,18 @@ SELECT input, nucleotide, regexp_matches(odd, '[FLIMVSPTAYXHQNKDECWRG*]') AS pro
 r AS (SELECT input, regexp_extract(h, '^>(\\S*)', 1) AS id, regexp_matches(h, '{'|'.join(S.FORBIDDEN)}') OR regexp_matches(regexp_extract(h, '^>(\\S*)', 1), '[/"]') AS bad, regexp_matches(h, '^>(\\s|$)') AS spaced FROM h),
 g AS (SELECT input, id, count(*) AS n, count(*) FILTER (bad) AS b, count(*) FILTER (spaced) AS sp FROM r GROUP BY ALL)
 SELECT input, CAST(sum(n) AS BIGINT) AS n_headers, CAST(sum(b) AS BIGINT) AS n_forbidden, CAST(sum(sp) AS BIGINT) AS n_spaced, count(*) FILTER (n > 1) AS n_repeated_ids FROM g GROUP BY input""",
-    "six_frame_translation": with_views("dna") + f""", s AS (SELECT seq_id, substr(seq, 1, 120) AS f, translate(reverse(substr(seq, 1, 120)), 'ACGT', 'TGCA') AS r FROM dna),
+    "six_frame_translation": with_views("dna") + f""", s AS (SELECT seq_id, seq AS f, translate(reverse(seq), 'ACGT', 'TGCA') AS r FROM dna),
 fr AS (SELECT seq_id, unnest([1, 2, 3]) AS frame, f AS x FROM s UNION ALL SELECT seq_id, unnest([-1, -2, -3]) AS frame, r FROM s),
 y AS (SELECT seq_id, frame, substr(x, abs(frame)) AS z FROM fr) SELECT seq_id, frame, {_TR('z')} AS protein FROM y""",
+    "cigar_frameshifts": with_views("hits") + """, c AS (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, l_partkey, l_suppkey, concat(l_orderkey % 50 + 1, 'M', l_linenumber, 'F', l_orderkey % 37 + 1, 'M', l_linenumber * 100, 'N', l_orderkey % 31, 'M', l_linenumber % 3 + 1, 'G', l_orderkey % 53, 'M', l_linenumber, 'D', l_orderkey % 11, 'M') AS cigar FROM hits),
+t AS (SELECT * EXCLUDE (cigar), unnest(regexp_extract_all(cigar, '[0-9]+[A-Z]')) AS x, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[A-Z]'), 1) AS i FROM c),
+e AS (SELECT *, CAST(substr(x, 1, length(x) - 1) AS BIGINT) AS n, substr(x, length(x)) AS op, count(*) FILTER (substr(x, length(x)) IN ('N', 'U', 'V')) OVER (PARTITION BY r ORDER BY i) AS exon FROM t),
+m AS (SELECT *, sum(CASE WHEN op = 'M' THEN n ELSE 0 END) OVER (PARTITION BY r, exon ORDER BY i) AS before, sum(CASE WHEN op = 'M' THEN n ELSE 0 END) OVER (PARTITION BY r, exon) AS whole FROM e),
+f AS (SELECT *, op IN ('F', 'G') AND before >= 20 AND whole - before >= 20 AS hit FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) FILTER (hit) AS events, CAST(coalesce(sum(n) FILTER (hit), 0) AS BIGINT) AS length FROM f GROUP BY r, l_orderkey, l_linenumber, l_partkey, l_suppkey""",
     "identifier_parts": with_views("hits") + """ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat(contig, '|p:', g_start, '-', g_end) AS gene, marker AS base, marker, CAST(split_part(marker, 'at', 1) AS BIGINT) AS number, concat(contig, '|p') AS contig, concat(contig, '|p') AS bare,
 CASE WHEN strand = '-' THEN g_end ELSE g_start END AS first, CASE WHEN strand = '-' THEN g_start ELSE g_end END AS last, g_start % 3 AS frame FROM hits""",
-    "internal_stops": with_views("dna") + f""", t AS (SELECT seq_id, replace({_TR2('seq')}, 'X', '*') AS p FROM dna)
+    "internal_stops": with_views("dna") + f""", t AS (SELECT seq_id, replace({_TR('seq')}, 'X', '*') AS p FROM dna)
 SELECT seq_id, CAST(length(trim(p, '*')) - length(replace(trim(p, '*'), '*', '')) AS BIGINT) AS stops, length(replace(p, '*', '')) AS length FROM t""",
     "genes_per_marker": with_views("hits") + " SELECT marker, string_agg(DISTINCT contig, ',' ORDER BY contig) AS genes FROM hits GROUP BY marker",
 }
