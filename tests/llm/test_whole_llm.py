@@ -2,6 +2,10 @@
 
 import collections
 import random
+import time
+
+import numpy as np
+import pytest
 
 from lociq.llm import decontaminate, licenses, lines
 
@@ -12,7 +16,7 @@ def docs(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def test_long_lines_go_whatever_their_neighbours_are(spark, tmp_path):
+def test_long_lines_go_whatever_their_neighbours_are(spark):
     r = random.Random(4)
     pool = [LONG, LONG + " again", "x" * 40, "y" * 39, "short", "", "a line that is long enough to be deleted once seen"]
     texts = [LONG, f"a\n{LONG}\nb", f"{LONG}\nc\n{LONG}", "y" * 39, "z\n" + "y" * 39, LONG] + ["\n".join(r.choice(pool) for _ in range(r.randint(1, 6))) for _ in range(40)]
@@ -29,11 +33,66 @@ def test_long_lines_go_whatever_their_neighbours_are(spark, tmp_path):
                     gone |= {i, i + 1}
                 two.add(pair)
         want[d] = ("\n".join(x for i, x in enumerate(ls) if i not in gone), len(gone), sum(i - 1 not in gone for i in gone))
-    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    got = lines.drop_repeated_lines(docs(spark, texts), line_chars=lines.MIN_CHARS).collect()
+    got = lines.drop_repeated_lines(docs(spark, texts), 2, line_chars=lines.MIN_CHARS).collect()
     assert {x.doc_id: (x.text, x.n_removed, x.n_runs) for x in got} == want and want[1][0] == "a\nb" and want[5][0] == ""
-    query = lines.op4_line_dedup(spark, str(tmp_path)).collect()
-    assert {x.doc_id: (x.n_removed, x.n_runs) for x in query} == {d: w[1:] for d, w in want.items()}
+
+
+def maximal_runs(texts, least):
+    """What is left of each text without its maximal runs that also start earlier and hold enough characters, by comparing all places."""
+    split = [t.split("\n") for t in texts]
+    places = [(d, i) for d, ls in enumerate(split) for i in range(len(ls))]
+    out = {}
+    for d, ls in enumerate(split):
+        gone = set()
+        for i in range(len(ls)):
+            for e, j in places:
+                if (e, j) >= (d, i):
+                    break
+                n = 0
+                while i + n < len(ls) and j + n < len(split[e]) and ls[i + n] == split[e][j + n]:
+                    n += 1
+                if sum(map(len, ls[i : i + n])) >= least:
+                    gone |= set(range(i, i + n))
+        out[d] = ("\n".join(x for i, x in enumerate(ls) if i not in gone), len(gone), sum(i - 1 not in gone for i in gone))
+    return out
+
+
+def test_maximal_runs_go_whole(spark, tmp_path):
+    r = random.Random(14)
+    pool = ["", "a", "bb", "eleven char", "x" * 25, "y" * 39, "z" * 40, LONG, "only " * 3]
+    passage = ["short", "", "x" * 25, "bb", "", "eleven char", "only once here", "", "q" * 12]
+    texts = ["\n".join(passage), "start\n" + "\n".join(passage) + "\nend", "\n".join(passage[2:] + ["tail"]), "\n" * 90, "\n" * 60, "a\n" * 100, "a\n" * 70 + "b", "y" * 39 + "\n\n\nno", "no\n" + "y" * 39 + "\n\n\n", ""]
+    texts += ["\n".join(r.choice(pool[: r.choice([3, 6, 9])]) for _ in range(r.randint(1, 30))) for _ in range(60)] + texts[:3]
+    want = maximal_runs(texts, lines.MIN_CHARS)
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = lines.drop_repeated_lines(docs(spark, texts)).collect()
+    assert {x.doc_id: (x.text, x.n_removed, x.n_runs) for x in got} == want
+    assert want[1][0] == "start\nend" and want[2][0] == "tail" and want[4][1] == 0
+    assert {x.doc_id: (x.n_removed, x.n_runs) for x in lines.op4_line_dedup(spark, str(tmp_path)).collect()} == {d: w[1:] for d, w in want.items()}
+
+
+def test_each_depth_is_the_shortest_part_with_enough_characters():
+    r = random.Random(3)
+    for _ in range(300):
+        sizes = [r.choice([0, 0, 1, 5, 30, 60]) for _ in range(r.randint(1, 12))]
+        ahead, back = lines.depths(np.array(sizes), None, 40, None)
+        for i in range(len(sizes)):
+            assert ahead[i] == next((k for k in range(1, len(sizes) - i + 1) if sum(sizes[i : i + k]) >= 40), 0)
+            assert back[i] == next((k for k in range(1, i + 2) if sum(sizes[i + 1 - k : i + 1]) >= 40), 0)
+
+
+def seconds(run):
+    began = time.time()
+    run()
+    return time.time() - began
+
+
+@pytest.mark.parametrize("make", [lambda n: "\n".join(f"line number {i % (n // 2)} of a long text, well over forty characters" for i in range(n)), lambda n: "ab\n" * n], ids=["long lines", "short lines"])
+def test_time_of_line_dedup_grows_with_the_text(spark, make):
+    run = lambda n: lambda: lines.drop_repeated_lines(docs(spark, [make(n)])).agg({"n_removed": "sum"}).collect()
+    seconds(run(2_000))
+    short, long = seconds(run(20_000)), seconds(run(200_000))
+    assert long < 12 * short + 5
 
 
 def bag(w, size=5):
