@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lociq.llm import decontaminate, lines, neardup, packing, toxicity
 from lociq.llm._common import Scratch, small_side, table
 
+#: Characters of a lone line (some fifty words) that goes even between different neighbours.
+PASSAGE_CHARS = 250
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier chain calls toxic."""
@@ -23,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated runs of lines; a document that was nothing else goes."""
-    rows = lines.drop_repeated_lines(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    rows = lines.drop_repeated_lines(docs.select("doc_id", "text", F.struct("*").alias("row")), min_lines=2, line_chars=PASSAGE_CHARS)
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
