@@ -188,14 +188,31 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.find_items(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_multi_index_meets_every_fingerprint_within_the_radius(spark):
+def test_multi_index_meets_every_fingerprint_within_the_radius():
     r = random.Random(2)
-    a = [r.getrandbits(63) for _ in range(200)]
-    b = [x ^ sum(1 << k for k in r.sample(range(63), decontaminate.RADIUS)) for x in a]
-    df = spark.createDataFrame(list(zip(range(200), a, b)), "i long, a long, b long")
-    left = df.select("i", F.explode(decontaminate.fingerprint_blocks(F.col("a"), True)).alias("k"))
-    right = df.select("i", F.explode(decontaminate.fingerprint_blocks(F.col("b"), False)).alias("k"))
-    assert left.join(right, ["i", "k"]).select("i").distinct().count() == 200
+    a = [r.getrandbits(64) for _ in range(16)]
+    group = decontaminate.Group(1, list(range(16)), [np.array([x], np.uint64) for x in a])  # the SimHash of one shingle is its hash
+    assert group.prints.tolist() == a
+    windows = np.array([x ^ sum(1 << k for k in r.sample(range(64), d)) for x in a for d in range(33) for _ in range(20)], np.uint64)
+    for j, at in group.near(windows):
+        assert at.tolist() == [k for k, w in enumerate(windows.tolist()) if (w ^ a[j]).bit_count() <= decontaminate.RADIUS]
+
+
+def test_nothing_is_found_past_the_index(spark, monkeypatch):
+    item = words(40, 77)
+    docs, items = frame(spark, [(1, " ".join(words(20, 1) + item), "p")]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert decontaminate.find_items(docs, items).count() == 1
+    monkeypatch.setattr(decontaminate, "HALF_RADIUS", -1)  # an index that names no item
+    assert decontaminate.find_items(docs, items).count() == 0
+
+
+def test_rolling_fingerprints_equal_those_of_each_window():
+    r = random.Random(5)
+    h = np.array([r.getrandbits(64) for _ in range(60)], np.uint64)
+    total = np.concatenate([np.zeros((1, 64), np.uint8), np.cumsum(decontaminate.bits(h), axis=0, dtype=np.uint8)])
+    for m in (1, 2, 7, 30):
+        got = decontaminate.majority(total[m:] - total[:-m], np.uint8(m // 2)).tolist()
+        assert got == [sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h[s : s + m].tolist()) * 2 > m) for s in range(60 - m + 1)]
 
 
 def test_license_scan_matches_containment(spark):

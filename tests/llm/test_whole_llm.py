@@ -145,6 +145,23 @@ def test_texts_shorter_than_the_item_are_found(spark):
     assert want[0, 0] == 45 / 46 and (3, 0) in want and (4, 0) not in want and (10, 2) in want
 
 
+def test_a_benchmark_of_several_passes_is_found_whole(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    r = random.Random(13)
+    items = [vocabulary(r, n) for n in (1, 2, 4, 5, 6, 9, 20, 20, 300, 700)]
+    texts = [vocabulary(r, 10) + x + vocabulary(r, 3) for x in items] + [x[: len(x) * 9 // 10] for x in items] + [items[6] + items[8] + items[2]]
+    assert len(check_items(spark, texts, items)) > 14
+
+
+@pytest.mark.parametrize("word", [lambda i: "same", lambda i: f"w{i % 50}", lambda i: f"w{i}"], ids=["one word", "a cycle", "all different"])
+def test_time_of_decontamination_grows_with_the_text(spark, word):
+    items = spark.createDataFrame([(1, " ".join(word(i) for i in range(40)))], "item_id long, text string")
+    run = lambda n: lambda: decontaminate.find_items(docs(spark, [" ".join(word(i) for i in range(n))] * 2), items).collect()
+    seconds(run(1_000))
+    short, long = seconds(run(20_000)), seconds(run(200_000))
+    assert long < 12 * short + 5
+
+
 def test_short_license_templates_are_found_inside_texts(spark):
     short = ["Licensed under MIT License", "Released under MIT License", "Licensed under ISC License", "Released under ISC License"]
     texts = [x for t in short for x in (t, f"Some words first. {t.upper()}.", f"{t}, and so on", f"a {t} b", t.replace("under", "under the"), t.rpartition(" ")[0])]
