@@ -9,11 +9,11 @@ A text with fewer words than the item is one window, the whole of it.
 1. Every window of every size that an item has gets a 64-bit SimHash, by rolling
    counts: with the running count of each bit over a text's shingles, a window's
    count is one subtraction, and the 64 counts of a window lie side by side.
-2. Four blocks of sixteen bits, each two halves of eight, index the items of a
-   size: a table names, for each value of a block, the items that one of its
-   halves lies within two bits of.  By the pigeonhole principle every item within
-   RADIUS = 23 bits of a window is named by some half.  The items named are kept
-   if their fingerprints do lie within the radius.  Nothing else proposes windows.
+2. Four blocks of sixteen bits index the items of a size: a table names, for each
+   value of a block, the items that lie within five bits of it there.  By the
+   pigeonhole principle every item within RADIUS = 23 bits of a window is named by
+   some block.  An item named is kept if its whole fingerprint lies within the
+   radius.  Nothing else proposes windows.
 3. Kept pairs are verified: by the count of the window's shingles that are any
    item's, which bounds the similarity, then by the exact weighted similarity.
 
@@ -47,12 +47,12 @@ from lociq.llm._common import Scratch, table
 from lociq.llm._text import _MULTIPLIERS, SHINGLE, U, mix, pieces, words
 
 SIMILARITY = 0.75
-HALVES, HALF_BITS, HALF_RADIUS = 8, 8, 2
-RADIUS = HALVES * (HALF_RADIUS + 1) - 1
+BLOCKS, BLOCK_RADIUS = 4, 5
+RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items sent to the executors at a time, about.
 ITEMS = 4096
 #: Items that share an index; windows looked at together.
-GROUP, WINDOWS = 16, 4096
+GROUP, WINDOWS = 16, 8192
 _MEMBER_BITS = 20
 
 
@@ -90,20 +90,21 @@ class Group:
         self.weighted = [np.unique(h, return_counts=True) for h in sets]
         self.prints = np.array([majority(bits(h).sum(0), len(h) // 2)[0] for h in sets], U)
         kind = np.uint8 if len(of) <= 8 else np.uint16
-        near = np.bitwise_count(np.arange(1 << HALF_BITS, dtype=np.uint8)[None, None] ^ self.prints.view(np.uint8).reshape(-1, HALVES)[:, :, None]) <= HALF_RADIUS
-        half = (near.astype(kind) << np.arange(len(of), dtype=kind)[:, None, None]).sum(0, dtype=kind)
-        #: Of each block, the items named by each of its values.
-        self.tables = [(half[k + 1][:, None] | half[k][None]).ravel() for k in range(0, HALVES, 2)]
-
-    def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(item, places of the fingerprints within the radius of its own)."""
-        blocks = prints.view(np.uint16).reshape(-1, len(self.tables))
-        named = self.tables[0].take(blocks[:, 0])
-        for k in range(1, len(self.tables)):
-            named |= self.tables[k].take(blocks[:, k])
-        for j, own in enumerate(self.prints):
-            at = np.flatnonzero(named & named.dtype.type(1 << j))
-            yield j, at[np.bitwise_count(prints[at] ^ own) <= RADIUS]
+        values = np.arange(1 << 16, dtype=np.uint16)
+        self.tables = [np.zeros(1 << 16, kind) for _ in range(BLOCKS)]  # of each block, the items named by each of its values
+        for j, blocks in enumerate(self.prints.view(np.uint16).reshape(-1, BLOCKS)):
+            for k, block in enumerate(blocks):
+                self.tables[k] |= (np.bitwise_count(values ^ block) <= BLOCK_RADIUS).astype(kind) << kind(j)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of fingerprints and the items named for them that lie within the radius."""
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        named = self.tables[0].take(blocks[:, 0], mode="wrap")
+        for k in range(1, BLOCKS):
+            named |= self.tables[k].take(blocks[:, k], mode="wrap")
+        j, at = np.divmod(np.flatnonzero(np.bitwise_count(self.prints[:, None] ^ prints) <= RADIUS), len(prints))
+        kept = (named[at] >> j.astype(named.dtype)) & 1 == 1
+        return at[kept], j[kept]
 
     def similarity(self, j: int, window: np.ndarray) -> float:
         shingle, weight = self.weighted[j]
@@ -140,10 +141,12 @@ class Index:
         runs = {size: grams(w, size) for size in {g.size for g in self.groups}}
         held = {size: np.concatenate([[0], np.cumsum(self.member[h >> U(64 - _MEMBER_BITS)])]) for size, h in runs.items()}
 
-        def verify(g: Group, j: int, starts: np.ndarray, m) -> None:
+        def verify(g: Group, starts: np.ndarray, items: np.ndarray, m: np.ndarray | int) -> None:
             h, inside = runs[g.size], held[g.size]
             some = inside[starts + m] - inside[starts] >= needed(m, g.m)
-            for s, k in zip(starts[some].tolist(), np.broadcast_to(m, len(starts))[some].tolist(), strict=True):
+            if not some.any():
+                return
+            for s, j, k in zip(starts[some].tolist(), items[some].tolist(), np.broadcast_to(m, len(starts))[some].tolist(), strict=True):
                 score = g.similarity(j, h[s : s + k])
                 if score >= SIMILARITY:
                     key, found = (int(doc[s]), g.of[j]), (score, int(at[doc[s]]) - s)
@@ -161,9 +164,10 @@ class Index:
                 if n <= 0:
                     continue
                 prints = majority(total[g.m : g.m + n] - total[:n], self.counts(g.m // 2)) if g.size == SHINGLE else runs[g.size][low : low + n]
-                for j, near in g.near(prints):
-                    near = near + low
-                    verify(g, j, near[room[near] >= g.n], g.m)
+                near, items = g.near(prints)
+                near += low
+                inside = room[near] >= g.n
+                verify(g, near[inside], items[inside], g.m)
             short = np.flatnonzero((at[:-1] >= low) & (at[:-1] < high) & (np.diff(at) >= SHINGLE) & (np.diff(at) < self.longest))
             if len(short):  # whole texts against longer items
                 starts, m = at[short], np.diff(at)[short] - SHINGLE + 1
@@ -171,8 +175,8 @@ class Index:
                 for g in self.groups:
                     if g.size == SHINGLE:
                         fits = np.flatnonzero((m < g.m) & (4 * m >= 3 * g.m))
-                        for j, near in g.near(prints[fits]) if len(fits) else ():
-                            verify(g, j, starts[fits[near]], m[fits[near]])
+                        near, items = g.near(prints[fits])
+                        verify(g, starts[fits[near]], items, m[fits[near]])
         return best
 
 

@@ -194,15 +194,15 @@ def test_multi_index_meets_every_fingerprint_within_the_radius():
     group = decontaminate.Group(1, list(range(16)), [np.array([x], np.uint64) for x in a])  # the SimHash of one shingle is its hash
     assert group.prints.tolist() == a
     windows = np.array([x ^ sum(1 << k for k in r.sample(range(64), d)) for x in a for d in range(33) for _ in range(20)], np.uint64)
-    for j, at in group.near(windows):
-        assert at.tolist() == [k for k, w in enumerate(windows.tolist()) if (w ^ a[j]).bit_count() <= decontaminate.RADIUS]
+    got = set(zip(*(x.tolist() for x in group.near(windows))))
+    assert got == {(k, j) for k, w in enumerate(windows.tolist()) for j in range(16) if (w ^ a[j]).bit_count() <= decontaminate.RADIUS}
 
 
 def test_nothing_is_found_past_the_index(spark, monkeypatch):
     item = words(40, 77)
     docs, items = frame(spark, [(1, " ".join(words(20, 1) + item), "p")]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert decontaminate.find_items(docs, items).count() == 1
-    monkeypatch.setattr(decontaminate, "HALF_RADIUS", -1)  # an index that names no item
+    monkeypatch.setattr(decontaminate, "BLOCK_RADIUS", -1)  # an index that names no item
     assert decontaminate.find_items(docs, items).count() == 0
 
 
