@@ -11,8 +11,10 @@ is owner-specific and looks live.  An opaque run becomes a span if it looks
 live; base spans always stay.
 
 Matches come from regexp_extract_all and their places from the pieces between
-them (split by the same pattern), summed up along the row: no position is
-searched for, so repeated values can't be confused.  Counts are aggregated by
+them (split by the same pattern): a row each, summed up along their document by
+windows, so no position is searched for, repeated values can't be confused, and
+time grows with the count of matches.  Running bounds of the base spans decide
+in the same order which opaque runs overlap one.  Counts are aggregated by
 (value, owner, document), then (value, owner), then value, each with map-side
 combine, so a value that a third of all documents hold is combined early.
 
@@ -22,7 +24,7 @@ row each, an empty table gives an empty result, extra columns are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociq.llm._common import Scratch, table
@@ -39,36 +41,30 @@ MAX_OWNERS, MAX_REPOSITORIES = 2, 8
 
 
 def matches(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value>> of all matches of a kind that hold."""
-    number, pattern, group, least = KINDS[kind]
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
+    """array<struct<m, v, p>>: each match of a kind, its value, and the text between it and the one before; null without a match."""
+    _, pattern, group, _ = KINDS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.arrays_zip(found.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("p"))
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(F.lit(number).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    spans = F.aggregate(parts, begin, step, lambda acc: acc["out"])
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), spans).otherwise(empty)
-
-
-def _apart(opaque: Column, base: Column) -> Column:
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
-    return F.filter(opaque, lambda o: mixed(o["value"]) & ~F.exists(base, lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
+    return F.when(text.rlike(pattern), F.arrays_zip(found.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("p")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, owner, kind, start, end, value) of every candidate."""
-    text = F.col("text")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("source").cast("string").alias("owner"), F.concat(*(matches(text, k) for k in ("assign", "access", "hex"))).alias("base"), matches(text, "opaque").alias("more"))
-    spans = F.explode(F.concat("base", _apart(F.col("more"), F.col("base"))))
-    rows = rows.where("size(base) > 0 or size(more) > 0").select("doc_id", "text_key", "owner", spans.alias("s"))
-    return rows.select("doc_id", "text_key", "owner", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.sha2(F.col("s.value").cast("binary"), 256).alias("value"))
+    each = F.array(*(F.struct(F.lit(KINDS[k][0]).alias("kind"), F.lit(KINDS[k][3]).alias("least"), matches(F.col("text"), k).alias("found")) for k in KINDS))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("source").cast("string").alias("owner"), F.monotonically_increasing_id().alias("row"), F.filter(each, lambda x: x["found"].isNotNull()).alias("each"))
+    keys = ["doc_id", "text_key", "owner", "row"]
+    rows = rows.where("size(each) > 0").select(*keys, F.inline("each")).select(*keys, "kind", "least", F.posexplode("found").alias("i", "x")).where("x.m is not null")
+    rows = rows.select(*keys, "kind", "least", "i", F.length("x.p").alias("gap"), F.length("x.m").alias("size"), F.col("x.v").alias("v")).repartition("row")
+    until = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(until).cast("int")).withColumn("start", F.col("end") - F.col("size")).where("length(v) >= least")
+    mixed = F.col("v").rlike("[0-9]") & F.col("v").rlike("[a-z]") & F.col("v").rlike("[A-Z]")
+    rows = rows.where((F.col("kind") < 3) | mixed)
+    base = lambda c: F.when(F.col("kind") < 3, F.col(c))
+    before = Window.partitionBy("row").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reach", F.max(base("end")).over(before)).withColumn("next", F.min(base("start")).over(after))
+    apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))
+    return rows.where((F.col("kind") < 3) | apart).select("doc_id", "text_key", "owner", "kind", "start", "end", F.sha2(F.col("v").cast("binary"), 256).alias("value"))
 
 
 def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:

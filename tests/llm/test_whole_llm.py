@@ -2,12 +2,13 @@
 
 import collections
 import random
+import re
 import time
 
 import numpy as np
 import pytest
 
-from lociq.llm import decontaminate, licenses, lines
+from lociq.llm import decontaminate, licenses, lines, secrets
 
 LONG = "one passage of well over forty characters that many pages hold"
 
@@ -162,6 +163,28 @@ def test_time_of_decontamination_grows_with_the_text(spark, word):
     assert long < 12 * short + 5
 
 
+def test_time_of_the_secret_scan_grows_with_the_matches(spark):
+    make = lambda n: " ".join(f"{i:032x} token=abcdefgh{i} Zz{i:030d}" for i in range(n))
+    run = lambda n: lambda: secrets.scan(spark.createDataFrame([(1, make(n), "s")], "doc_id long, text string, source string")).agg({"n_hex": "sum", "n_assign": "sum"}).collect()
+    seconds(run(200))
+    short, long = seconds(run(4_000)), seconds(run(40_000))
+    assert long < 12 * short + 5
+
+
+def test_opaque_runs_that_touch_a_base_span_are_left_out(spark):
+    r = random.Random(31)
+    parts = ["token=" + "Ab1" * 9, "Ab1" * 9, "0123456789abcdef" * 2, "0123456789abcdef" * 2 + "Zz", "AKIA" + "A1" * 9, "x", "secret: abcdefgh+Ab1Ab1Ab1Ab1Ab1Ab1Ab1Ab1"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", "/", "", ","]) for _ in range(r.randint(1, 8))) for _ in range(80)]
+    got = secrets.scan(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    for x in got:
+        t = texts[x.doc_id]
+        find = lambda p, g, n: [m.span() for m in re.finditer(p, t) if len(m.group(g)) >= n]
+        base = find(secrets.ASSIGN, 2, 8) + find(secrets.ACCESS, 0, 16) + find(secrets.HEX, 0, 32)
+        runs = [(a, b) for a, b in find(secrets.OPAQUE, 0, 24) if all(re.search(p, t[a:b]) for p in ("[0-9]", "[a-z]", "[A-Z]")) and not any(c < b and a < d for c, d in base)]
+        listed = [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("opaque")]
+        assert set(listed) <= set(runs) and len(listed) + x.n_example >= len(runs)
+
+
 def test_short_license_templates_are_found_inside_texts(spark):
     short = ["Licensed under MIT License", "Released under MIT License", "Licensed under ISC License", "Released under ISC License"]
     texts = [x for t in short for x in (t, f"Some words first. {t.upper()}.", f"{t}, and so on", f"a {t} b", t.replace("under", "under the"), t.rpartition(" ")[0])]
