@@ -69,9 +69,9 @@ class Scratch:
 
 
 def small_side(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks a saved side for broadcast only if its measured bytes stay under the limit, else for a shuffled hash join."""
+    """Marks a saved side for broadcast only if its measured bytes stay under the limit, else it is sorted and merged, which can spill."""
     held = df.agg(F.sum(row_bytes).alias("b")).first()["b"] or 0
-    return F.broadcast(df) if held <= limit else df.hint("shuffle_hash")
+    return F.broadcast(df) if held <= limit else df.hint("merge")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

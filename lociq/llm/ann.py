@@ -7,8 +7,8 @@ bound reaches the k-th best lower bound of their query are recomputed in
 double precision, and heaps merge the tiles' best.  The bounds make the result
 exact: nothing is lost to quantisation.
 
-Vectors that are null, empty, zero or hold null or non-finite components take
-no part; vectors of different length are not compared.  Ties go to the smaller
+Rows with a null id, and vectors that are null, empty, zero or hold null or
+non-finite components, take no part; vectors of different length are not compared.  Ties go to the smaller
 vec_id.  Rows that repeat a vec_id are candidates each, but never of a query
 with that id; a repeated query id is one query per distinct vector, merged.
 An empty table gives an empty result.
@@ -65,7 +65,13 @@ def quantise(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, the same for equal rows."""
-    one = lambda x, y: np.einsum("ij,ij->i", x, y)
+
+    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for k in range(x.shape[1]):  # sums in the order of components, whatever the count of rows
+            out += x[:, k] * y[:, k]
+        return out
+
     return one(a, b) / (np.sqrt(one(a, a)) * np.sqrt(one(b, b)))
 
 
@@ -114,11 +120,11 @@ def _merge(k: int):
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest cosine of each query, its own id excepted."""
-    queries, candidates = usable(queries.select(id_col, vector), vector), usable(candidates.select(id_col, vector), vector)
+    queries, candidates = (usable(df.select(id_col, vector).where(F.col(id_col).isNotNull()), vector) for df in (queries, candidates))
     nq, nc = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (candidates, CANDIDATE_BLOCK)))
     q = blocks(queries, id_col, vector, nq).select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("block"))
     c = blocks(candidates, id_col, vector, nc).select("block", "dim", "ids", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("q_block"))
-    tiles = q.hint("shuffle_hash").join(c, ["q_block", "block", "dim"]).select("dim", "q_ids", "q_raw", "ids", "raw")
+    tiles = q.join(c, ["q_block", "block", "dim"]).select("dim", "q_ids", "q_raw", "ids", "raw")
     found = tiles.mapInArrow(_tile(k), "query_id long, vec_id long, score double")
     return found.repartition("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
@@ -129,4 +135,12 @@ def op2_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Data
 
 
 QUERIES = {"op2_approximate_nearest_neighbours": op2_approximate_nearest_neighbours}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_approximate_nearest_neighbours": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.size * c.size) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 5
+""",
+}

@@ -281,7 +281,7 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
     v = r.normal(size=(120, 8)).astype(np.float32)
     v[10:20] = v[3]
     rows = [(i, [float(x) for x in v[i]], "z") for i in range(120)]
-    rows += [(200, None, "z"), (201, [0.0] * 8, "z"), (202, [1.0, None] + [0.0] * 6, "z"), (203, [float("nan")] * 8, "z"), (204, [float("inf")] + [0.0] * 7, "z"), (205, [], "z"), (250, [1.0, 2.0], "z"), (251, [2.0, 1.0], "z")]
+    rows += [(None, [1.0] * 8, "z"), (None, None, "z"), (200, None, "z"), (201, [0.0] * 8, "z"), (202, [1.0, None] + [0.0] * 6, "z"), (203, [float("nan")] * 8, "z"), (204, [float("inf")] + [0.0] * 7, "z"), (205, [], "z"), (250, [1.0, 2.0], "z"), (251, [2.0, 1.0], "z")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").repartition(3)
     got = collections.defaultdict(list)
     for x in ann.nearest(df.where("vec_id % 10 = 0"), df, 5).orderBy("query_id", "rank").collect():
