@@ -7,14 +7,17 @@ shingles is filed under the MinHash bands of all its windows of W shingles,
 W = 1, 2, 4 or 8 as T grows (below 8, 16, 64, above).  A text is cut into
 windows of each W that overlap by half.  Four hash functions make two bands of
 two; windows of similarity J meet with probability 1 - (1 - J*J)**2, those that
-hold the same shingles always.  A document that contains 75 % of a template
-holds an unbroken run of at least 1.5 W of its shingles (a changed word breaks
-five, so T/4 broken ones leave runs of 15 T / (T + 20) or more on average), so
-one of its windows equals one of the template's and retrieval is certain.
+hold the same shingles always.  A text's windows are counted from its own
+beginning.  A document that contains 75 % of a template in its order mostly
+holds an unbroken run of 1.5 W of its shingles, in which one of its windows
+equals one of the template's: a changed word breaks five shingles, so T/4 broken
+ones leave runs of 15 T / (T + 20) on average.  Changes spread evenly over a long
+template can leave shorter runs; then windows that differ in part meet with the
+probability above.  A test tries random edits and misses none.
 
 A retrieved template matches if the text's whole set holds at least 75 % of
-the template's shingles.  The templates are fixed, a few thousand windows; the
-scan is one pass without a shuffle.
+the template's shingles.  The templates are a parameter, by default a few
+thousand windows; the scan is one pass without a shuffle.
 
 Null or blank text matches nothing.  Repeated rows give their rows each; a
 null doc_id is carried.  Empty tables give empty results; extra columns are
@@ -124,8 +127,8 @@ def window_keys(h: np.ndarray, wanted: tuple[int, ...] = WIDTHS) -> Iterator[tup
 class Index:
     """Templates' sets, and the templates under each window key."""
 
-    def __init__(self) -> None:
-        self.names = templates()
+    def __init__(self, names: list[tuple[str, str, str]]):
+        self.names = names
         self.sets, held = [], []
         for rows, h, begin in plain_shingles(pa.array([t for _, _, t in self.names])):
             for i, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True), rows.start):
@@ -150,15 +153,17 @@ class Index:
     def candidates(self, h: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Distinct (row, template) pairs that share a window key."""
         found = [np.zeros((0, 2), np.int64)]
+        place = np.arange(len(h)) - np.repeat(begin[:-1], np.diff(begin))  # within its text
         for w, _, keys in window_keys(h, self.widths):
-            keys = keys[:: max(1, w // 2)]
+            some = np.flatnonzero(place[: len(keys)] % max(1, w // 2) == 0)
+            keys = keys[some]
             at = np.flatnonzero(self.table[(keys >> U(64 - _TABLE_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.keys, keys[at]), np.searchsorted(self.keys, keys[at], side="right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             if len(at):
-                row = np.searchsorted(begin, at * max(1, w // 2), side="right") - 1
-                place = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.unique(np.stack([np.repeat(row, n), self.of[place]], 1), axis=0))
+                row = np.searchsorted(begin, some[at], side="right") - 1
+                of = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append(np.unique(np.stack([np.repeat(row, n), self.of[of]], 1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
 
@@ -174,8 +179,11 @@ class Index:
         return found
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = Index()
+def _scan(names: list[tuple[str, str, str]]):
+    return lambda batches: _found(Index(names), batches)
+
+
+def _found(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for rows, data, off in pieces(b.column(1)):
             h, begin = shingles(_PLAIN[data], off)
@@ -192,10 +200,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())).cast(pa.int64()), pa.array([index.names[k][0] for k in t], pa.string()), pa.array([index.names[k][1] for k in t], pa.string()), pa.array(n, pa.int64()), pa.array(of, pa.int64())], names=["doc_id", "license", "template", "n_matched", "n_template"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, license, template, n_matched, n_template) of each template that a document contains."""
+def scan(docs: DataFrame, names: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """(doc_id, license, template, n_matched, n_template) of each template (license, name, text) that a document contains."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan, "doc_id long, license string, template string, n_matched long, n_template long")
+    return rows.mapInArrow(_scan(templates() if names is None else names), "doc_id long, license string, template string, n_matched long, n_template long")
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,16 +213,16 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     plain = lambda s: "".join(c.lower() if c.isascii() else c for c in ("".join(c if not c.isascii() or c.isalnum() else " " for c in s))).split(" ")
-    rows = []
+    rows, short = [], set()
     for lic, name, text in templates():
         w = [x for x in plain(text) if x]
+        short |= {len(w)} if len(w) < SHINGLE else set()
         for x in sorted({" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} if len(w) >= SHINGLE else {" ".join(w)}):
             rows.append(f"({quoted(lic)}, {quoted(name)}, {quoted(x)})")
     return rf"""
 WITH t(license, template, x) AS (VALUES {', '.join(rows)}),
 w AS (SELECT doc_id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i+{SHINGLE - 1}], ' '))) END AS sh FROM w),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS sh FROM w, (SELECT unnest([{', '.join(map(str, sorted(short | {SHINGLE})))}]) AS k)),
 e AS (SELECT doc_id, unnest(sh) AS x FROM s),
 n AS (SELECT template, count(*) AS n_template FROM t GROUP BY template)
 SELECT doc_id, license, template, count(*) AS n_matched, n_template FROM e JOIN t USING (x) JOIN n USING (template)

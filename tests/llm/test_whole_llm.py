@@ -185,6 +185,21 @@ def test_opaque_runs_that_touch_a_base_span_are_left_out(spark):
         assert set(listed) <= set(runs) and len(listed) + x.n_example >= len(runs)
 
 
+def test_templates_are_a_parameter_and_edited_ones_are_retrieved(spark):
+    r = random.Random(41)
+    names = [("X", f"t{n}", " ".join(vocabulary(r, n))) for n in (6, 12, 30, 80, 200)]
+    texts, want = [], set()
+    for _ in range(300):
+        _, name, text = r.choice(names)
+        w = text.split()
+        for _ in range(r.randint(0, max(1, len(w) // 24))):
+            w[r.randrange(len(w))] = "edited"
+        texts.append(" ".join(vocabulary(r, r.randint(0, 9)) + w + vocabulary(r, r.randint(0, 9))))
+        if 100 * len(bag(texts[-1].split()).keys() & bag(text.split()).keys()) >= 75 * len(bag(text.split())):
+            want.add((len(texts) - 1, name))
+    assert len(want) > 150 and {(x.doc_id, x.template) for x in licenses.scan(docs(spark, texts), names).collect()} == want
+
+
 def test_short_license_templates_are_found_inside_texts(spark):
     short = ["Licensed under MIT License", "Released under MIT License", "Licensed under ISC License", "Released under ISC License"]
     texts = [x for t in short for x in (t, f"Some words first. {t.upper()}.", f"{t}, and so on", f"a {t} b", t.replace("under", "under the"), t.rpartition(" ")[0])]
