@@ -7,9 +7,11 @@ have left and carry bitmaps of the sources and clusters they hold; the search
 starts at the tightest bin that is large enough and goes on to its successors
 until a compatible one is found, else a bin is opened.  Longest come first.
 
-Documents are dealt into shards by a hash of their id, so that a hot source or
-cluster is spread over all of them and a shard's size is bounded on average;
-bins do not span shards.  Only (id, source, cluster, length) is shuffled.
+Documents are dealt into shards by a hash of all that is known of them, so that a
+hot source, cluster or id is spread over all of them and a shard's size is bounded
+on average; bins do not span shards.  Equal rows are counted before the shuffle
+and dealt by their number, so even they spread.  Only (id, source, cluster,
+length) is shuffled.
 
 Null or blank text has length 0 and takes no bin: it is left out.  A null
 source or cluster conflicts with nothing.  Ties in length go to the smaller
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lociq.llm._common import table
 
-SHARD_DOCS = 8192
+SHARD_DOCS, COPIES = 8192, 4096
 OUT = "doc_id long, piece int, shard int, bin int, start int, length int, bin_used int"
 
 
@@ -111,8 +113,13 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = SHARD_DOCS, cl
     cluster = F.md5(F.col("text").cast("binary")) if cluster is None else cluster
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), cluster.cast("string").alias("cluster"), n_words(F.col("text")).alias("length"))
     n = max(1, -(-docs.count() // shard_docs))
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n)).cast("int")
-    return rows.where("length > 0").withColumn("shard", shard).groupBy("shard").applyInPandas(lambda p: pack_shard(p, capacity), OUT)
+    facts = ["doc_id", "source", "cluster", "length"]
+    equal = rows.where("length > 0").groupBy(*facts).agg((F.count("*") - 1).alias("last"))
+    # every copy's number, in two steps, so that no array of all of them is made
+    high = equal.select(*facts, "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / COPIES).cast("long"))).alias("high"))
+    copies = high.select(*facts, F.explode(F.sequence(F.col("high") * COPIES, F.least(F.col("last"), F.col("high") * COPIES + (COPIES - 1)))).alias("copy"))
+    shard = F.pmod(F.xxhash64(*facts, "copy"), F.lit(n)).cast("int")
+    return copies.select(*facts, shard.alias("shard")).groupBy("shard").applyInPandas(lambda p: pack_shard(p, capacity), OUT)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ whole texts without a shuffle.
 Null or blank text has no features: its scores are those of the intercepts.
 Labels that are null, or rows without a text, take no part in training; with
 no labels, or one class only, a model predicts the smoothed share of its
-class.  Repeated rows are scored each.  Empty tables give empty results; extra
+class.  Repeated rows are scored each; of the texts of one doc_id the smallest
+trains, of its labels the least row.  Empty tables give empty results; extra
 columns pass through unless a score has their name, which then replaces them.
 """
 
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociq.llm._common import table
 
@@ -160,12 +162,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, rows: int = TRAIN_ROWS) -> tuple[list[Linear], list[float]]:
     known = labels.where(" and ".join(f"{c} is not null" for c in ("doc_id", *chain)))
-    picked = known.select("doc_id", *(F.col(c).cast("int").alias(c) for c in chain)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    least = known.groupBy("doc_id").agg(F.min(F.struct(*(F.col(c).cast("int").alias(c) for c in chain))).alias("y"))
+    picked = least.select("doc_id", "y.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` rows, so this side may be broadcast
-    both = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    both = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", *chain).agg(F.min("text").alias("text"))
     schema = "doc_id long, " + ", ".join(f"{c} int" for c in chain) + ", places binary"
     found = both.select(F.col("doc_id").cast("long").alias("doc_id"), *chain, "text").mapInArrow(_features, schema).toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
+    found = found.sort_values("doc_id", kind="stable")  # at most `rows` rows
     sets = [np.frombuffer(x, np.int32) for x in found["places"]]
     folds = np.array([zlib.crc32(str(d).encode()) % FOLDS for d in found["doc_id"]], np.int64)
     return fit_chain(sets, found[list(chain)].to_numpy(np.float64), folds)
@@ -175,6 +178,7 @@ def score(docs: DataFrame, models: list[Linear], chain: tuple[str, ...] = CHAIN)
     """docs with p_<category> for each category."""
     names = [f"p_{c}" for c in chain]
     docs = docs.drop(*names)
+    text = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(models)  # at most KEEP weights each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +187,7 @@ def score(docs: DataFrame, models: list[Linear], chain: tuple[str, ...] = CHAIN)
         seen: dict[str, tuple] = {}
         for b in batches:
             sets = []
-            for t in b.column("text"):
+            for t in b.column(text):
                 found: set[int] = set()
                 for w in set(_WORD.findall((t.as_py() or "").lower())):
                     at = seen.get(w)
@@ -197,8 +201,9 @@ def score(docs: DataFrame, models: list[Linear], chain: tuple[str, ...] = CHAIN)
             p = predict_chain(held, sets)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(names)))], names=[*b.schema.names, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + "".join(f", {n} double" for n in names))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # Arrow functions refuse some column names
+    scored = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return scored.toDF(*docs.columns, *names)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

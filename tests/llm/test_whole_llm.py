@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from lociq.llm import decontaminate, licenses, lines, secrets
+from lociq.llm import decontaminate, licenses, lines, packing, secrets, toxicity
 
 LONG = "one passage of well over forty characters that many pages hold"
 
@@ -200,6 +200,70 @@ def test_templates_are_a_parameter_and_edited_ones_are_retrieved(spark):
     assert len(want) > 150 and {(x.doc_id, x.template) for x in licenses.scan(docs(spark, texts), names).collect()} == want
 
 
+def test_equal_rows_are_dealt_over_shards(spark):
+    rows = [(None, "one two three", "s")] * 300 + [(7, "same same", "t")] * 300 + [(i, "three words here", "u") for i in range(100)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=12, shard_docs=50).toPandas()
+    assert len(got) == 700 and got["length"].sum() == 300 * 3 + 300 * 2 + 100 * 3
+    assert got["shard"].value_counts().max() < 110 and (got.groupby(["shard", "bin"])["length"].sum() <= 12).all()
+
+
+def slow_model(sets, dense, y):
+    """The chain's linear model by definition: features in a loop, the same loss to its minimum by Newton's method."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    told = []
+    for f in sorted(set().union(*map(set, sets))):
+        a, b = sum(f in s for s, t in zip(sets, y) if t), sum(f in s for s, t in zip(sets, y) if not t)
+        p = (a + b) / (n1 + n0)
+        z = (a / n1 - b / n0) ** 2 / max(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)
+        if a + b >= toxicity.MIN_DOCS and z >= toxicity.CHANCE:
+            told.append((-z, f))
+    used = sorted(f for _, f in sorted(told)[: toxicity.KEEP])
+    row = lambda s, d: np.array([*(float(f in s) for f in used), *d, 1.0])
+    x = np.array([row(set(s), d) for s, d in zip(sets, dense)])
+    weight = np.array([0.5 / n1 if t else 0.5 / n0 for t in y])
+    ridge = np.append(np.full(x.shape[1] - 1, 1e-4), 0)
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge) + 1e-12 * np.eye(len(w)), x.T @ ((p - y) * weight) + ridge * w)
+    return lambda s, d: 1 / (1 + np.exp(-np.clip(row(set(s), d) @ w, -30, 30)))
+
+
+def test_chain_equals_a_slow_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "MIN_DOCS", 3)
+    r = random.Random(51)
+    sets, labels = [], []
+    for _ in range(400):
+        junk, toxic = r.random() < 0.4, r.random() < 0.3
+        s = {r.randrange(100, 160) for _ in range(12)} | ({r.randrange(5)} if junk ^ (r.random() < 0.15) else set()) | ({r.randrange(10, 14)} if toxic ^ (r.random() < 0.1) else set())
+        sets.append(np.array(sorted(s), np.int32))
+        labels.append((float(not junk), float(toxic)))
+    y, folds = np.array(labels), np.arange(400) % toxicity.FOLDS
+    models, _ = toxicity.fit_chain(sets, y, folds)
+    got = toxicity.predict_chain(models, sets)
+    dense, told, at_scoring = [()] * 400, [], [()] * 400
+    for k in range(2):
+        model = slow_model(sets, dense, y[:, k])
+        told.append([model(s, d) for s, d in zip(sets, at_scoring)])
+        out = [0.0] * 400
+        for f in range(toxicity.FOLDS):
+            part = slow_model([s for s, g in zip(sets, folds) if g != f], [d for d, g in zip(dense, folds) if g != f], y[folds != f, k])
+            for i in np.flatnonzero(folds == f):
+                out[i] = part(sets[i], dense[i])
+        dense = [(*d, p) for d, p in zip(dense, out)]
+        at_scoring = [(*d, p) for d, p in zip(at_scoring, told[k])]
+    assert np.abs(got - np.array(told).T).max() < 0.02
+
+
+def test_toxicity_takes_any_column_name_and_repeated_rows(spark):
+    rows = [(i % 20, ("bad " if i % 2 else "fine ") + "words", "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd ``name, of` string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)] * 3, "doc_id long, quality int, toxic int")
+    models, thresholds = toxicity.train(df, labels)
+    out = toxicity.score(df, models)
+    assert out.columns[:3] == df.columns and {(x.doc_id % 2, x.p_toxic >= thresholds[-1]) for x in out.collect()} == {(0, False), (1, True)}
+
+
 def test_short_license_templates_are_found_inside_texts(spark):
     short = ["Licensed under MIT License", "Released under MIT License", "Licensed under ISC License", "Released under ISC License"]
     texts = [x for t in short for x in (t, f"Some words first. {t.upper()}.", f"{t}, and so on", f"a {t} b", t.replace("under", "under the"), t.rpartition(" ")[0])]
