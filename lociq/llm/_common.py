@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes that a side may hold to be broadcast; beyond it a join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: A key is hot if more than one in HOT of all rows have it.
+HOT = 10_000
 #: Narrow rows in a file of a table whose size is known.
 FILE_ROWS = 250_000
 
@@ -74,6 +76,19 @@ def small_side(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if held <= limit else df.hint("merge")
 
 
+def join_back(rows: DataFrame, key: str, per_key: DataFrame) -> DataFrame:
+    """rows with the columns of a saved per_key (key, n, ...), where n counts the rows of a key; rows of other keys go.
+
+    A key that more than 1/HOT of these rows have is joined by broadcast (there
+    are fewer than HOT such keys), so its rows stay where they are.
+    """
+    total = per_key.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT > total
+    hot, cold = per_key.where(is_hot).drop("n"), per_key.where(~is_hot).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of undirected edges (a, b); component is the smallest node reachable.
 

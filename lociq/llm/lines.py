@@ -24,9 +24,8 @@ The first position of an interval stays, later ones lose the part.  A position
 whose rank is unique has no twin at any greater depth and leaves; so do
 positions that no undecided part covers.  Ranks are 128-bit digests of the pair
 instead of dense numbers: they part the suffixes as well as any numbering and
-need no global sort.  Ranks that more than 1/HOT of all tied positions share are
-joined by broadcast (there are fewer than HOT of them), so no line, however
-common, is dealt to one task.
+need no global sort.  Ranks that very many positions share are joined by
+broadcast (join_back), so no line, however common, is dealt to one task.
 
 With min_lines only runs of exactly so many lines are judged, each by its own
 characters, and longer ones through the runs they consist of; line_chars adds
@@ -51,11 +50,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm._common import Scratch, small_side, table
+from lociq.llm._common import Scratch, join_back, small_side, table
 
 MIN_CHARS = 40
-#: A rank is hot if more than one in HOT of the tied positions have it.
-HOT = 10_000
 AT = ["doc_id", "text_key", "line"]
 POSITIONS = "doc_id long, text_key long, line int, rank binary, ahead int, back int, wide boolean"
 
@@ -105,10 +102,7 @@ def _ties(ranked: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of a saved table whose rank occurs at several places, with the first of these."""
     here = F.struct(*AT)
     first = scratch.save(ranked.groupBy("rank").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count("*").alias("n")).where("first <> last").select("rank", "first", "n"))
-    total = first.agg(F.sum("n")).first()[0] or 0
-    hot = first.where(F.col("n") * HOT > total).select("rank", "first")  # fewer than HOT rows
-    rest = ranked.join(F.broadcast(hot.select("rank")), "rank", "left_anti").join(first.where(F.col("n") * HOT <= total).select("rank", "first"), "rank")
-    return ranked.join(F.broadcast(hot), "rank").unionByName(rest)
+    return join_back(ranked, "rank", first)
 
 
 def _digest(*parts) -> F.Column:

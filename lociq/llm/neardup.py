@@ -21,7 +21,8 @@ in at least 0.58 of the values (four and a half standard deviations below
 0.75), and it becomes a link only if 100 * intersection >= 75 * union.
 
 Null or blank text: empty set, linked with nothing, component is its own
-doc_id.  Repeated rows: a row each, of one component.  A null doc_id links
+doc_id.  Repeated rows: a row each, of one component; different texts of one
+doc_id are one node of the links.  A null doc_id links
 nothing and has its set's representative as component, or null; kept is false.
 Empty tables give empty results; extra columns are left out.
 """
@@ -33,10 +34,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm._common import Scratch, connected_components, small_side, table
+from lociq.llm._common import Scratch, connected_components, join_back, small_side, table
 from lociq.llm._text import U, mix, pieces, shingles
 
 PERMUTATIONS, ROWS = 72, 4
@@ -209,9 +210,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "bands", "sig")).alias("r")
     reps = scratch.save(usable.groupBy("set_hi", "set_lo").agg(first).select("set_hi", "set_lo", "r.*"))
     facts = reps.select("doc_id", "size", "bands", "sig")
-    key = Window.partitionBy("key")
-
-    met = reps.select("doc_id", F.explode("bands").alias("key")).select("doc_id", F.min("doc_id").over(key).alias("first")).where("doc_id <> first")
+    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
+    first = scratch.save(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last"))
+    met = join_back(keyed, "key", first).where("doc_id <> first")
     met = met.groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a"))
     one = lambda side: facts.select(F.col("doc_id").alias(side), F.col("size").alias(f"n{side}"), F.col("sig").alias(f"s{side}"))
     sized = met.join(one("b"), "b").join(one("a"), "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
@@ -224,17 +225,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = connected_components(links, scratch)
 
     labelled = reps.select("doc_id", "bands").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("label"), F.explode("bands").alias("key"))
-    mixed = labelled.select("*", F.min("label").over(key).alias("lo"), F.max("label").over(key).alias("hi"), F.count("*").over(key).alias("n")).where("lo < hi")
-    slices = F.ceil(F.col("n") / TILE).cast("int")
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    several = scratch.save(several.select("key", "n", F.ceil(F.col("n") / TILE).cast("int").alias("slices")))
+    mixed, slices = join_back(labelled, "key", several), F.col("slices")
     mixed = mixed.select("key", "doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(3)), slices).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("other"))
     mixed = scratch.save(mixed.select("key", "doc_id", "label", "slice", F.least("slice", "other").alias("lo_slice"), F.greatest("slice", "other").alias("hi_slice")))
     tile = ["key", "lo_slice", "hi_slice"]
     whole = lambda df: df.repartition(*tile).sortWithinPartitions(*tile)
-    flagged = scratch.save(whole(mixed.join(facts, "doc_id")).mapInArrow(_flag, "key long, lo_slice int, hi_slice int, doc_id long"))
+    flagged = scratch.save(whole(mixed.join(facts, "doc_id").where("array_contains(bands, key)")).mapInArrow(_flag, "key long, lo_slice int, hi_slice int, doc_id long"))
     ids = scratch.save(flagged.select("doc_id").distinct(), rows=flagged.count())
     if not ids.isEmpty():
         sets = scratch.save(_sets_of(ids, docs))
-        full = mixed.join(flagged, [*tile, "doc_id"]).join(facts, "doc_id").join(sets, "doc_id")
+        full = mixed.join(flagged, [*tile, "doc_id"]).join(facts, "doc_id").where("array_contains(bands, key)").join(sets, "doc_id")
         links = links.union(scratch.save(whole(full).mapInArrow(_link, "a long, b long"), WIDE))
         parts = connected_components(links, scratch)
 

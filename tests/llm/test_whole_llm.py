@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from lociq.llm import decontaminate, licenses, lines, packing, secrets, toxicity
+from lociq.llm import decontaminate, licenses, lines, neardup, packing, secrets, toxicity
 
 LONG = "one passage of well over forty characters that many pages hold"
 
@@ -264,6 +264,20 @@ def test_toxicity_takes_any_column_name_and_repeated_rows(spark):
     assert out.columns[:3] == df.columns and {(x.doc_id % 2, x.p_toxic >= thresholds[-1]) for x in out.collect()} == {(0, False), (1, True)}
 
 
+def test_near_duplicates_take_different_texts_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 4)
+    r = random.Random(61)
+    core, rows = vocabulary(r, 80), []
+    for k in range(40):
+        w = core[:]
+        w[r.randrange(80)] = f"edited{k}"
+        rows.append((k % 12, " ".join(w)))
+    rows += [(50, " ".join(vocabulary(r, 60))), (3, " ".join(vocabulary(r, 60)))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {x.component_id for x in got if x.doc_id == 50} == {50}
+    assert {x.component_id for x in got if x.doc_id not in (3, 50)} == {0}
+
+
 def test_short_license_templates_are_found_inside_texts(spark):
     short = ["Licensed under MIT License", "Released under MIT License", "Licensed under ISC License", "Released under ISC License"]
     texts = [x for t in short for x in (t, f"Some words first. {t.upper()}.", f"{t}, and so on", f"a {t} b", t.replace("under", "under the"), t.rpartition(" ")[0])]
