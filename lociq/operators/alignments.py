@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociq.functions.scalars import cleaned_protein, frameshifts, internal_stops
-from lociq.operators.intervals import islands
+from lociq.operators.intervals import BIN, islands
 
 #: Share of the longer alignment that must be shared.
 SHARED = 0.80
@@ -46,7 +46,7 @@ def suppress_overlapping(alignments: DataFrame) -> DataFrame:
     an island are never made: their number grows with the square of its depth.
     """
     held = alignments.select("aln_id", "contig", "marker", "start", "end", "score").where("aln_id is not null and contig is not null and marker is not null and start is not null and end is not null")
-    groups = islands(held, ["contig", "marker"], "start", "end", "island", touching=True).groupBy("contig", "marker", "island")
+    groups = islands(held, ["contig", "marker"], "start", "end", "island", width=BIN).groupBy("contig", "marker", "island")
     removed = groups.applyInPandas(_suppressed, T.StructType([alignments.schema["aln_id"]]))
     return alignments.join(removed, "aln_id", "left_anti")
 

@@ -42,10 +42,14 @@ def targets(hits: DataFrame, keys: list[str], line: str) -> DataFrame:
 
 
 def suppress_overlapping_genes(found: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Per marker, by matched length and best score: a target goes if its gene overlaps one accepted before; only those at the cutoff are accepted."""
+    """Per file of hits, by matched length and best score: a target goes if its gene overlaps one accepted before; only those at the cutoff are accepted.
+
+    Files of one marker don't see each other; a later file overwrites in upsert_rounds.
+    """
     rows = found.join(cutoffs.select("marker", "cutoff"), "marker")
     order = [-F.col("matched_length"), -F.col("best"), F.col("target")]
-    return greedy_accept(rows, ["marker", "contig"], order, "g_start", "g_end", F.col("first_score") >= F.col("cutoff"))
+    file = ["file"] if "file" in found.columns else []
+    return greedy_accept(rows, [*file, "marker", "contig"], order, "g_start", "g_end", F.col("first_score") >= F.col("cutoff"))
 
 
 def classify_by_length(found: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -126,6 +130,15 @@ def summarise(statuses: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return c.withColumns({f"{k}_percent": F.when(F.col("n") > 0, percent(F.col(k), F.col("n"))).otherwise(0.0) for k in "csdfm"})
 
 
+def summarise_found(found: DataFrame, inputs: DataFrame, n_markers: DataFrame, keys: list[str]) -> DataFrame:
+    """summarise for many inputs at once: found has the statuses of markers that were found, n_markers one row with n; the rest of n is missing."""
+    c = found.groupBy(*keys).agg(*(F.count_if(F.col("status") == s).alias(k) for s, k in (("Complete", "s"), ("Duplicated", "d"), ("Fragmented", "f"))))
+    c = inputs.select(*keys).distinct().join(c, keys, "left").select(*keys, *(F.coalesce(k, F.lit(0)).alias(k) for k in "sdf"))
+    c = c.join(F.broadcast(n_markers.select("n")), how="cross")  # one row
+    c = c.withColumn("m", F.col("n") - F.col("s") - F.col("d") - F.col("f")).withColumn("c", F.col("s") + F.col("d"))
+    return c.withColumns({f"{k}_percent": F.when(F.col("n") > 0, percent(F.col(k), F.col("n"))).otherwise(0.0) for k in "csdfm"})
+
+
 def notation(summary: DataFrame, stops: Column | None = None) -> Column:
     """C:x%[S:x%,D:x%],F:x%,M:x%,n:N and ,E:x% where there are internal stops."""
     p = lambda k: F.format_number(f"{k}_percent", 1)
@@ -166,7 +179,18 @@ def result_table(statuses: DataFrame, ranked: DataFrame, annotation: DataFrame |
     return out.orderBy(marker_number(F.col("marker")), F.desc("score"), "gene")
 
 
+def filter_ranks(found: DataFrame, ties: list[Column]) -> DataFrame:
+    """Classified targets after all filters; a second search round is put over these."""
+    return relative_score_filter(best_marker_per_gene(resolve_ranks(found), ties))
+
+
+def only_best_fragments(kept: DataFrame, ties: list[Column]) -> DataFrame:
+    """All complete and very large rows, and of each marker's fragments the best one (of equal scores the longer match)."""
+    w = Window.partitionBy("marker", "rank").orderBy(F.desc("score"), F.desc("matched_length"), *ties)
+    return kept.withColumn("_n", F.row_number().over(w)).where("rank <> 'fragment' or _n = 1").drop("_n")
+
+
 def status_flow(found: DataFrame, cutoffs: DataFrame, ties: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Classified targets -> (surviving rows, statuses)."""
-    kept = relative_score_filter(best_marker_per_gene(resolve_ranks(found), ties))
+    """Classified targets -> (rows that are reported, statuses)."""
+    kept = only_best_fragments(filter_ranks(found, ties), ties)
     return kept, consolidate(kept, cutoffs)

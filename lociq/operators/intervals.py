@@ -16,17 +16,44 @@ def union_length(df: DataFrame, keys: list[str], start: str, end: str, name: str
     return df.select(*keys, new.cast("bigint").alias("_new")).groupBy(*keys).agg(F.sum("_new").alias(name))
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, name: str = "island", touching: bool = True) -> DataFrame:
+#: Positions of a bin in which the islands of a long key are numbered by tasks of their own.
+BIN = 1 << 16
+
+
+def _beside(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of side, which has a row per keys; null keys are equal."""
+    renamed = side.withColumnsRenamed({k: f"_side_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_side_{k}"))
+        on = same if on is None else on & same
+    return rows.join(renamed, on, "left").drop(*(f"_side_{k}" for k in keys))
+
+
+def islands(df: DataFrame, keys: list[str], start: str, end: str, name: str = "island", touching: bool = True, width: int | None = None) -> DataFrame:
     """Numbers the groups of transitively overlapping intervals per keys.
 
     Rows of different islands can't overlap, so order-dependent folds run per
     island: their groups stay as small as the overlaps are, however many rows
-    a key has.
+    a key has.  With a width a key's rows are dealt over bins of start; what is
+    carried over a bin's edge, the furthest end and the count of islands before
+    it, comes from one row per bin.
     """
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    bins = [*keys] if width is None else [*keys, "_bin"]
+    rows = df if width is None else df.withColumn("_bin", F.floor(F.col(start) / width))
+    order = Window.partitionBy(*bins).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    if width is not None:
+        earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        tops = rows.groupBy(*bins).agg(F.max(end).alias("_top")).withColumn("_carry", F.max("_top").over(earlier)).drop("_top")
+        rows, reach = _beside(rows, tops, bins), F.greatest("_carry", reach)
     apart = F.col(start) > reach if touching else F.col(start) >= reach
-    return df.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(name, F.sum("_new").over(order)).drop("_new")
+    rows = rows.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+    number = F.sum("_new").over(order)
+    if width is not None:
+        counts = rows.groupBy(*bins).agg(F.sum("_new").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        rows, number = _beside(rows, counts, bins), number + F.col("_before")
+    return rows.withColumn(name, number).select(*df.columns, name)
 
 
 def merged(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -42,7 +42,7 @@ def assess(hits: DataFrame, cutoffs: DataFrame, proteins: bool, by_length: bool)
 
 
 def second_round(first: DataFrame, later: DataFrame, cutoffs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A rerun of incomplete markers: its ranked rows go over the first round's filtered ones, then all is filtered again."""
+    """A rerun of incomplete markers: its ranked rows go over the first round's filtered ones (filter_ranks), then all is filtered again."""
     return H.status_flow(H.upsert_rounds(first, later), cutoffs, [F.col("file"), F.col("target")])
 
 
@@ -58,13 +58,13 @@ def looks_viral(summary: DataFrame, input_bytes: int) -> DataFrame:
 
 def run_batch(hits: DataFrame, cutoffs: DataFrame, by_length: bool) -> DataFrame:
     """Summary per input of protein-mode hits with an input column; inputs don't see each other."""
-    keyed = hits.withColumn("marker", F.concat_ws("\u0001", "input", "marker"))
-    inputs = hits.select("input").distinct()
-    dims = cutoffs.join(inputs, how="cross").withColumn("marker", F.concat_ws("\u0001", "input", "marker")).drop("input")  # inputs of a batch times a catalogue
-    keyed = keyed.withColumns({"target": F.concat_ws("\u0001", "input", "target")})
+    of_input = lambda c: F.concat_ws("\u0001", "input", c)
+    dims = hits.select("input", "marker").distinct().join(cutoffs, "marker").withColumn("marker", of_input("marker")).drop("input")
+    keyed = hits.withColumns({"marker": of_input("marker"), "target": of_input("target")})
     _, statuses = assess(keyed, dims, True, by_length)
     parts = F.split("marker", "\u0001")
-    return H.summarise(statuses.select(parts[0].alias("input"), parts[1].alias("marker"), "status"), ["input"])
+    found = statuses.where("status <> 'Missing'").select(parts[0].alias("input"), "status")
+    return H.summarise_found(found, hits, cutoffs.agg(F.countDistinct("marker").alias("n")), ["input"])
 
 
 def run_proteins(spark: SparkSession, hit_files: str, dataset: str, by_length: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ def greedy_gene_suppression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_islands(spark: SparkSession, d: str) -> DataFrame:
-    return islands(view(spark, d, "regions"), ["contig"], "start", "end").groupBy("contig", "island").agg(F.count("*").alias("n"), F.min("start").alias("low"), F.max("end").alias("high"))
+    return islands(view(spark, d, "regions"), ["contig"], "start", "end", width=1024).groupBy("contig", "island").agg(F.count("*").alias("n"), F.min("start").alias("low"), F.max("end").alias("high"))
 
 
 def greedy_alignment_suppression(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,8 @@ def exon_resolution(spark: SparkSession, d: str) -> DataFrame:
     x = view(spark, d, "exons")
     second = x.withColumns({"low": F.col("low") + 900, "high": F.col("high") + 930})
     env = x.select("marker", "gene", F.lit(1).alias("env_from"), F.lit(40).alias("env_to")).distinct()
-    return E.resolve_overlaps(x.unionByName(second).distinct(), env)
+    out = E.resolve_overlaps(x.unionByName(second).distinct(), env)
+    return out.withColumns({"env": F.col("env").cast("string"), "exons": F.col("exons").cast("string")})
 
 
 def same_marker_elimination(spark: SparkSession, d: str) -> DataFrame:

@@ -153,9 +153,9 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
     h, c = _hits(spark, d)
     h = h.withColumn("input", F.concat(F.lit("in"), (F.col("l_orderkey") % 5).cast("string")))
     found = H.pass_cutoff(h, c).groupBy("input", "marker").agg(F.countDistinct("target").alias("n"))
-    grid = found.select("input").distinct().join(c.select("marker"), how="cross")  # inputs of one batch times the marker catalogue: the report's own rows
-    status = F.when(F.col("n") == 1, "Complete").when(F.col("n") > 1, "Duplicated").otherwise("Missing")
-    return H.summarise(grid.join(found, ["input", "marker"], "left").withColumn("status", status), ["input"])
+    status = F.when(F.col("n") == 1, "Complete").otherwise("Duplicated")
+    out = H.summarise_found(found.withColumn("status", status), found, c.agg(F.count("*").alias("n")), ["input"])
+    return out.select("input", "s", "d", "f", "n", "m", "c", *(f"{k}_percent" for k in "csdfm"))
 
 
 def plot_table(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +194,8 @@ up AS (SELECT marker, gene FROM co UNION ALL SELECT marker, gene FROM vl),
 fr AS (SELECT * FROM ranked WHERE rank = 'fragment' AND marker NOT IN (SELECT marker FROM up) AND gene NOT IN (SELECT gene FROM up)),
 resolved AS (SELECT * FROM co UNION ALL SELECT * FROM vl UNION ALL SELECT * FROM fr),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rank, gene ORDER BY score DESC, marker || '.out', target) AS k FROM resolved) WHERE k = 1),
-kept AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY rank, marker) AS t FROM one) WHERE score >= 0.85 * t),
+close AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY rank, marker) AS t FROM one) WHERE score >= 0.85 * t),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY marker, rank ORDER BY score DESC, matched_length DESC, target) AS place FROM close) WHERE rank <> 'fragment' OR place = 1),
 per AS (SELECT marker, count(*) FILTER (rank <> 'fragment') AS w, count(*) FILTER (rank = 'fragment') AS f FROM kept GROUP BY marker),
 statuses AS (SELECT c.marker, CASE WHEN w = 1 THEN 'Complete' WHEN w > 1 THEN 'Duplicated' WHEN f > 0 THEN 'Fragmented' ELSE 'Missing' END AS status FROM cutoffs c LEFT JOIN per USING (marker)),
 counts AS (SELECT count(*) FILTER (status = 'Complete') AS s, count(*) FILTER (status = 'Duplicated') AS d, count(*) FILTER (status = 'Fragmented') AS f, count(*) AS n, count(*) FILTER (status = 'Missing') AS m,

@@ -221,3 +221,96 @@ def test_same_marker_elimination_equals_the_sequential_rule(spark):
                 gone.add(y[0] if x[6] > y[6] else x[0])
     df = spark.createDataFrame(rows, "gene string, marker string, contig string, low long, high long, strand string, score double")
     assert {x.gene for x in exons.eliminate_same_marker(df).collect()} == {x[0] for x in rows} - gone
+
+
+def test_binned_islands_equal_plain_ones(spark):
+    r = random.Random(7)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, s := r.randrange(4000), s + r.choice([0, 3, 5, 40, 700])) for i in range(500)] + [("c", 900, 5, 9)]
+    df = spark.createDataFrame(rows, "c string, k long, s long, e long")
+    for touching in (True, False):
+        want = {(x.k, x.island) for x in islands(df, ["c"], "s", "e", touching=touching).collect()}
+        for width in (16, 300, 1 << 16):
+            got = islands(df, ["c"], "s", "e", touching=touching, width=width)
+            assert got.columns == [*df.columns, "island"] and {(x.k, x.island) for x in got.collect()} == want
+
+
+def turns(order):
+    """The sweep said turn by turn, over all pairs."""
+    lost, had, out = [], [], []
+    for a in order:
+        if a.place not in lost:
+            for b in order:
+                if a.low <= b.low < a.high and b.place != a.place and b.place not in had and a.strand == b.strand and a.low % 3 == b.low % 3 and exons.without_strand(a.gene) != exons.without_strand(b.gene):
+                    pair = (b, a) if a.score > b.score else (a, b)
+                    lost.append(pair[0].place)
+                    out.append(pair)
+            had.append(a.place)
+    return sorted(out, key=lambda p: -max(p[0].score, p[1].score))
+
+
+def test_sweep_equals_its_turns():
+    r = random.Random(8)
+    for _ in range(300):
+        xs = [E(f"{r.randrange(4)}at2|c:{r.randrange(3)}-9|+", f"{r.randrange(4)}at2", low := r.randrange(0, 30), low + r.randrange(1, 25), float(r.randrange(5)), r.choice("++-")) for _ in range(r.randrange(0, 14))]
+        assert exons.sweep(xs) == turns(sorted(xs, key=lambda e: (e.low, e.high, e.gene, e.marker)))
+
+
+def used_by_definition(sizes, env, shift):
+    """Which exons are used, amino acid by amino acid of the gene."""
+    ends = [sum(sizes[: k + 1]) + 1 + shift for k in range(len(sizes))]
+    used, at = set(), 0
+    for a, b in env:
+        while at < len(sizes) and not a < ends[at]:
+            at += 1
+        if at == len(sizes):
+            break
+        used.add(at)
+        if b > ends[at]:
+            return used | set(range(at, len(sizes)))
+    return used
+
+
+def test_split_by_use_equals_its_definition():
+    r = random.Random(9)
+    for _ in range(500):
+        at, xs = 0, []
+        for _ in range(r.randrange(1, 7)):
+            low = at + r.randrange(1, 50)
+            at = low + r.randrange(3, 120)
+            xs.append(E("g|+", "m", low, at, 1.0))
+        if r.random() < 0.5:
+            xs = xs[::-1]
+        env = sorted((a := r.randrange(1, 150), a + r.randrange(1, 80)) for _ in range(r.randrange(0, 4)))
+        trim = r.choice([0, 0, 30, 33])
+        hit = used_by_definition([round((x.high - x.low + 1) / 3) for x in xs], env, trim / 3)
+        span = [c for k in hit for c in (xs[k].low, xs[k].high)]
+        inside = {k for k, x in enumerate(xs) if hit and k not in hit and (min(span) <= x.low < max(span) or min(span) < x.high < max(span))}
+        used, unused = exons.split_by_use(xs, env, trim)
+        assert set(used) == {xs[k] for k in hit | inside} and set(unused) == set(xs) - set(used)
+
+
+def test_earlier_trims_shift_the_envelopes(spark):
+    rows = [("1at2|c:100-900|+", "1at2", "c", 100, 279, "+", 50.0), ("1at2|c:100-900|+", "1at2", "c", 700, 900, "+", 50.0), ("2at2|c:700-1300|+", "2at2", "c", 700, 1300, "+", 90.0), ("3at2|d:1-90|+", "3at2", "d", 1, 90, "+", 9.0)]
+    df = spark.createDataFrame(rows, "gene string, marker string, contig string, low long, high long, strand string, score double")
+    env = spark.createDataFrame([("1at2", rows[0][0], 62, 100), ("2at2", rows[2][0], 1, 200)], "marker string, gene string, env_from long, env_to long")
+    plain = {x.marker: x for x in exons.resolve_overlaps(df, env).collect()}
+    assert set(plain) == {"2at2", "3at2"} and plain["3at2"].exons == [(1, 90)] and plain["2at2"].env == [(1, 200)]
+    trims = spark.createDataFrame([("1at2", rows[0][0], 120)], "marker string, gene string, start_trim long")
+    cut = {x.marker: x for x in exons.resolve_overlaps(df, env, trims).collect()}["1at2"]
+    assert (cut.new_gene, cut.end_trim, cut.exons, cut.env) == ("1at2|c:100-279|+", 201, [(100, 279)], [(62, 100)])
+
+
+def test_files_of_one_marker_are_suppressed_apart(spark):
+    found = spark.createDataFrame([("a.out", "1at2", "t1", "c", 1, 100, 50, 9.0, 9.0), ("b.out", "1at2", "t2", "c", 50, 150, 40, 8.0, 8.0), ("b.out", "1at2", "t3", "c", 60, 160, 30, 7.0, 7.0)], "file string, marker string, target string, contig string, g_start long, g_end long, matched_length long, best double, first_score double")
+    kept = hits.suppress_overlapping_genes(found, spark.createDataFrame([("1at2", 5.0)], "marker string, cutoff double"))
+    assert {x.target for x in kept.collect()} == {"t1", "t2"}
+
+
+def test_the_flow_reports_one_fragment_per_marker(spark):
+    rows = [("1at2", "a", "fragment", 90.0, "f", 10), ("1at2", "b", "fragment", 95.0, "f", 10), ("2at2", "c", "fragment", 90.0, "f", 10), ("2at2", "d", "fragment", 90.0, "f", 12), ("3at2", "e", "complete", 90.0, "f", 10), ("3at2", "g", "complete", 89.0, "f", 10)]
+    df = spark.createDataFrame(rows, "marker string, gene string, rank string, score double, file string, matched_length long")
+    cut = spark.createDataFrame([("1at2",), ("2at2",), ("3at2",)], "marker string")
+    kept, statuses = hits.status_flow(df, cut, [F.col("file"), F.col("gene")])
+    assert {x.gene for x in kept.collect()} == {"b", "d", "e", "g"}
+    assert {x.marker: x.status for x in statuses.collect()} == {"1at2": "Fragmented", "2at2": "Fragmented", "3at2": "Duplicated"}
+    assert hits.result_table(statuses, kept).count() == 4
