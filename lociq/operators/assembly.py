@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +46,14 @@ def metrics(seqs: DataFrame, keys: list[str], gap: int = 10) -> DataFrame:
 
 def is_nucleotide(seqs: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Whether the first 5,001 letters over all records, in order, are nucleotide codes; a table without a record has no row."""
-    before = F.coalesce(F.sum(F.length("seq")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = seqs.withColumn("_b", before).where(F.col("_b") < LETTERS).withColumn("_p", F.substring("seq", F.lit(1), (LETTERS - F.col("_b")).cast("int")))
-    return part.groupBy(*keys).agg(F.bool_and(F.upper("_p").rlike(f"^[{NUCLEOTIDES}]*$")).alias("nucleotide"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    # no more than the first letters of so many records can count, so only these are moved
+    some = seqs.where(F.length("seq") > 0).select(*keys, order, F.substring("seq", 1, LETTERS).alias("_p"), F.length("seq").alias("_l"))
+    some = some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LETTERS)
+    before = F.coalesce(F.sum("_l").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = some.withColumn("_b", before).where(F.col("_b") < LETTERS).withColumn("_p", F.substring("_p", F.lit(1), (LETTERS - F.col("_b")).cast("int")))
+    found = part.groupBy(*keys).agg(F.bool_and(F.upper("_p").rlike(f"^[{NUCLEOTIDES}]*$")).alias("nucleotide"))
+    return seqs.select(*keys).distinct().join(found, keys, "left").fillna(True, ["nucleotide"])
 
 
 def is_protein(seqs: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -97,3 +102,16 @@ def coding_density(genes: DataFrame, lengths: DataFrame, keys: list[str]) -> Dat
     """Coding bases (end - start) over all bases, and the mean gene score."""
     coding = genes.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("coding"), F.avg("score").alias("score"))
     return coding.join(lengths, [k for k in keys if k in lengths.columns]).withColumn("density", F.col("coding") / F.col("length"))
+
+
+def with_translation(results: DataFrame, translated: DataFrame, keys: tuple[str, ...] = ("gene", "frame")) -> DataFrame:
+    """Results with the nucleotides and the protein of the frame that was found: translated has gene, frame, seq, protein."""
+    return results.join(translated.select(*keys, F.col("seq").alias("nt"), F.col("protein").alias("aa")), list(keys))
+
+
+#: How a frame is written in the description of a translated sequence.
+FRAME_LABELS = {1: "orig_seq_frame_1", 2: "orig_seq_frame_2", 3: "orig_seq_frame_3", -1: "rev_comp_frame_1", -2: "rev_comp_frame_2", -3: "rev_comp_frame_3"}
+
+
+def frame_label(frame: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in FRAME_LABELS.items() for x in pair))[frame]

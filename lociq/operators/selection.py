@@ -74,3 +74,10 @@ def shared_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def profile_jobs(markers: DataFrame, files: DataFrame) -> DataFrame:
     """A search job per marker and sequence file of that marker."""
     return markers.join(files.withColumn("marker", marker_base(F.regexp_extract("file", r"([^/.]+)[^/]*$", 1))), "marker")
+
+
+def gff_of_results(lines: DataFrame, results: DataFrame) -> DataFrame:
+    """GFF lines (marker, contig, gene, line, round) of the genes that are results; of a gene the last round's."""
+    mine = lines.join(results.select("marker", "gene").distinct(), ["marker", "gene"], "left_semi")
+    last = mine.groupBy("marker", "gene").agg(F.max("round").alias("round"))
+    return mine.join(last, ["marker", "gene", "round"])

@@ -1,8 +1,8 @@
 """Queries of the engine and their SQL."""
 
-from lociq.plans import genes, selections, sequences, status
+from lociq.plans import files, genes, selections, sequences, status
 
-MODULES = (status, genes, selections, sequences)
+MODULES = (status, files, genes, selections, sequences)
 
 
 def queries() -> dict:

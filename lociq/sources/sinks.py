@@ -17,7 +17,7 @@ def full_table_rows(results: DataFrame, genome: bool, annotated: bool) -> DataFr
     if genome:
         start, end = reported_place(F.col("start"), F.col("end"), F.col("strand"))
         columns += [start.alias("gene_start"), end.alias("gene_end"), F.col("strand")]
-    columns += [F.format_number("score", 1).alias("score"), F.col("matched_length").cast("bigint").alias("length")]
+    columns += [F.col("score").cast("string").alias("score"), F.col("matched_length").cast("bigint").alias("length")]
     columns += [F.col("link"), F.col("description")] if annotated else []
     return results.orderBy(marker_number(F.col("marker")), F.desc("score"), "gene").select(*columns)
 
@@ -47,10 +47,22 @@ def write_fasta(rows: DataFrame, path: str, by: tuple[str, ...] = (), seq_id: st
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
+def combined(*runs: DataFrame) -> DataFrame:
+    """Sequences of all runs of a predictor, one after the other."""
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def single_copy(rows: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Sequences of markers found once."""
+    return rows.join(statuses.where("status = 'Complete'").select("marker"), "marker", "left_semi")
+
+
 def placement_markers(proteins: DataFrame, statuses: DataFrame, reference: DataFrame) -> DataFrame:
     """Single-copy proteins of reference markers for placement: end stops cut, proteins with inner stops left out."""
-    single = statuses.where("status = 'Complete'").select("marker").join(reference.select("marker"), "marker", "left_semi")
-    cut = proteins.join(single, "marker", "left_semi").withColumn("seq", F.regexp_replace("seq", r"\*+$", ""))
+    cut = single_copy(proteins, statuses).join(reference.select("marker"), "marker", "left_semi").withColumn("seq", F.regexp_replace("seq", r"\*+$", ""))
     return cut.where(~F.col("seq").contains("*"))
 
 

@@ -64,10 +64,15 @@ def translated_search(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select("file", "line_order", "marker", "contig", "m_start", "m_end", F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end"), "evalue", F.lit("+").alias("strand"))
 
 
+def finished_searches(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, complete): whether the last line of each file says that all was processed."""
+    last = lines(spark, path).groupBy("file").agg(F.max_by("line", "line_order").alias("last"))
+    return last.select("file", F.col("last").contains("processed").alias("complete"))
+
+
 def search_is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether the last line says that all was processed; an empty file is complete."""
-    last = lines(spark, path).agg(F.max_by("line", "line_order").alias("last")).first()["last"]
-    return last is None or "processed" in last
+    """Whether all searches ended; an empty file is complete."""
+    return finished_searches(spark, path).where("not complete").isEmpty()
 
 
 def alignment_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -119,8 +124,14 @@ def predictor_header(header: Column) -> Column:
 
 
 def predicted_genes(proteins: DataFrame, codons: DataFrame) -> DataFrame:
-    """Predicted genes with both sequences, joined on the gene id (FASTA rows of the two files)."""
-    one = lambda df, name: df.select(predictor_header(F.col("seq_id")).alias("h"), F.col("seq").alias(name)).select("h.*", name)
+    """Predicted genes with both sequences, joined on the gene id (FASTA rows of the two files); an id that a file repeats ends the run."""
+
+    def one(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(predictor_header(F.col("seq_id")).alias("h"), F.col("seq").alias(name))
+        per_gene = rows.groupBy("h.gene").agg(F.count("*").alias("n"), F.first(F.struct("h", name)).alias("r"))
+        only = F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("the gene id is not unique: "), "gene")))
+        return per_gene.select(only.alias("r")).select("r.h.*", f"r.{name}")
+
     return one(codons, "nt").join(one(proteins, "aa").select("gene", "aa"), "gene")
 
 
@@ -138,6 +149,11 @@ def prokaryotic_genes(fasta_rows: DataFrame) -> DataFrame:
     return out.withColumn("gene", F.format_string("%s:%d-%d|%s", "contig", "start", "end", "strand"))
 
 
+def mean_gene_score(gff: DataFrame, keys: list[str], attributes: str = "attributes") -> DataFrame:
+    """Mean score of the genes of a GFF, from its attributes; genes without one don't count."""
+    return gff.groupBy(*keys).agg(F.avg(gene_score(F.col(attributes))).alias("score"))
+
+
 def gene_score(attributes: Column) -> Column:
     return F.regexp_extract(attributes, r";score=(.+?);", 1).try_cast("double")
 
