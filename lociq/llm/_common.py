@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociq.storage import fresh_folder, remove
+
 #: Most bytes that a side may hold to be broadcast; beyond it a join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: A key is hot if more than one in HOT of all rows have it.
@@ -20,24 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local session may make one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="lociq-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 class Scratch:
-    """Tables written to the shared folder: lineage ends there, so a lost executor costs no recomputation beyond it."""
+    """Tables written to the shared folder: lineage ends there, so a lost executor costs no recomputation beyond it.
+
+    What drop has not removed goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = f"{shared_dir(spark).rstrip('/')}/lociq-{uuid.uuid4().hex}"
+        self.base = fresh_folder(spark)
         self.n = 0
 
     def save(self, df: DataFrame, batch: int | None = None, rows: int | None = None) -> DataFrame:
@@ -65,9 +55,7 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._lociq_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, df._lociq_path)
 
 
 def small_side(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> DataFrame:
