@@ -1,8 +1,9 @@
-"""Command line: assess the hits of a profile search against a data set."""
+"""Command line: assess what a profile search found, of one input or a folder of them."""
 
 from __future__ import annotations
 
 import argparse
+import glob
 import sys
 
 from lociq.config import load
@@ -11,7 +12,7 @@ from lociq.errors import LociqError
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lociq", description=__doc__)
-    p.add_argument("-i", "--in", dest="in", metavar="HITS", help="folder or files of domain tables, one per marker")
+    p.add_argument("-i", "--in", dest="in", metavar="HITS", help="folder of an input (see workflow), of domain tables, or of several inputs")
     p.add_argument("-o", "--out", help="name of the run")
     p.add_argument("--out_path", help="where the run's folder goes")
     p.add_argument("-m", "--mode", help="genome, transcriptome or proteins")
@@ -24,13 +25,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int)
     p.add_argument("--contig_break", type=int)
     p.add_argument("--datasets_version")
+    p.add_argument("--download_path", help="folder of data sets and lists")
+    p.add_argument("--list-datasets", nargs="?", const="all", help="show the data sets of the manifest: all, one domain, or one by name")
     p.add_argument("--predictor", choices=("aligner_a", "aligner_b", "hmm"))
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
-    path = args.pop("config")
+    path, list_kind = args.pop("config"), args.pop("list_datasets")
+    if list_kind:
+        args |= {"in": args["in"] or "-", "mode": args["mode"] or "proteins"}
     try:
         config = load(args, path)
     except LociqError as e:
@@ -38,22 +43,28 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     from pyspark.sql import SparkSession
 
-    from lociq import pipeline
-    from lociq.operators.hits import missing_markers, notation, result_table, summarise
-    from lociq.sources import sinks
+    from lociq import log, workflow
 
     spark = SparkSession.builder.appName("lociq").getOrCreate()
-    hits, cutoffs = pipeline.text.domain_hits(spark, config.in_), pipeline.read_dataset(spark, config.lineage_dataset)
-    kept, statuses = pipeline.assess(hits, cutoffs, config.mode == "proteins", config.datasets_version == "odb10")
-    base = f"{config.out_path.rstrip('/')}/{config.out or 'lociq_run'}"
-    sinks.write_table(result_table(statuses, kept), f"{base}/full_table")
-    sinks.write_list(missing_markers(statuses), "marker", f"{base}/missing")
-    summary = summarise(statuses)
-    row = summary.withColumn("notation", notation(summary)).first().asDict()
-    sinks.json_rows(summary).coalesce(1).write.mode("overwrite").text(f"{base}/summary")
-    if not config.quiet:
-        print(sinks.text_summary(row, row["notation"]))
-    return 0
+    local = "://" not in config.out_path
+    log.set_up(f"{config.out_path.rstrip('/')}/{config.out or 'lociq_run'}/logs" if local else None, config.quiet)
+    if list_kind:
+        from lociq.runs import list_datasets
+
+        list_datasets(workflow.text.manifest(spark, f"{config.download_path}/file_versions.tsv"), list_kind).show(1000, truncate=False)
+        return 0
+    try:
+        rows = workflow.run(spark, config)
+    except LociqError as e:
+        print(e, file=sys.stderr)
+        return 1
+    if config.tar and local:
+        from lociq.runs import archive
+
+        for name in ("sequences", "gff"):
+            for folder in glob.glob(f"{config.out_path.rstrip('/')}/{config.out or 'lociq_run'}/**/{name}", recursive=True):
+                archive(folder)
+    return 0 if rows else 1
 
 
 if __name__ == "__main__":

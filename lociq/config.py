@@ -88,10 +88,35 @@ class Config:
         return {"aligner_a": "genome_aligner_a", "hmm": "genome_hmm", None: "genome_aligner_b", "aligner_b": "genome_aligner_b"}[self.predictor]
 
 
+#: Options that only some pipelines use, with their defaults.
+TRAINING = {"long": False}
+SEARCH = {"evalue": 1e-3, "limit": 3}
+METRICS = {"contig_break": 10, "scaffold_composition": False, "skip_metrics": False}
+PIPELINE_OPTIONS = {
+    "genome_hmm": TRAINING | SEARCH | METRICS,
+    "genome_aligner_a": METRICS,
+    "genome_aligner_b": METRICS,
+    "genome_aligner_b_prokaryota": METRICS,
+    "genome_gene_finder": METRICS,
+    "transcriptome_translated_search": SEARCH,
+    "transcriptome_aligner_a": {},
+    "transcriptome_gene_finder": {},
+    "proteins": {},
+}
+
+
+def unused_options(config: Config, pipeline: str) -> list[str]:
+    """Options that were given another value than their default but that the pipeline does not use."""
+    every = {k: v for part in PIPELINE_OPTIONS.values() for k, v in part.items()}
+    return sorted(k for k, v in every.items() if k not in PIPELINE_OPTIONS[pipeline] and getattr(config, k) != v)
+
+
 def dataset_name(name: str, default_version: str) -> tuple[str, str]:
-    """A data set's full name and version; a version in the name wins, below 10 is refused."""
+    """A data set's full name and version; a version in the name wins, below 10 is refused; a path stays as it is."""
     base = os.path.basename(name.rstrip("/"))
     m = re.search(r"_odb(\d+(?:\.\d+)?)$", base)
+    if not m and "/" in name:
+        return name, default_version
     if not m:
         return f"{name}_{default_version}", default_version
     if float(m[1]) < 10:
@@ -138,6 +163,15 @@ def tool_parameters(text: str, allowed: set[str]) -> dict[str, str]:
     return out
 
 
+def extra_parameters(text: str, allowed: set[str]) -> tuple[dict[str, str], list[str]]:
+    """Accepted --key=value words of a pass-through string, and warnings: of keys left out, or that the whole is not in that form."""
+    words = text.strip("\"' ").split()
+    if not all(w.startswith("-") and w.count("=") == 1 for w in words):
+        return {}, ["parameters must have the form --name=value; none is used"]
+    pairs = [w.lstrip("-").split("=") for w in words]
+    return {k: v for k, v in pairs if k in allowed}, [f"{k} is not an accepted parameter" for k, _ in pairs if k not in allowed]
+
+
 def newest_dataset(folder: str, name: str) -> str:
     """A data set's folder by its exact name, else the last of its versions in the order of names."""
     if os.path.isdir(os.path.join(folder, name)):

@@ -27,8 +27,16 @@ def read_dataset(spark: SparkSession, folder: str) -> DataFrame:
         return scores.withColumns({"length": F.lit(None).cast("double"), "sigma": F.lit(None).cast("double")})
 
 
+TIES = ("file", "target")
+
+
 def assess(hits: DataFrame, cutoffs: DataFrame, proteins: bool, by_length: bool) -> tuple[DataFrame, DataFrame]:
-    """Domain hits (marker, file, line_order, target, ...) -> (surviving rows, statuses)."""
+    """Domain hits (marker, file, line_order, target, ...) -> (rows that are reported, statuses)."""
+    return H.status_flow(classified(hits, cutoffs, proteins, by_length), cutoffs, [F.col(c) for c in TIES])
+
+
+def classified(hits: DataFrame, cutoffs: DataFrame, proteins: bool, by_length: bool) -> DataFrame:
+    """Domain hits -> targets at the cutoff with their ranks; unless proteins, targets name places and overlapping ones are suppressed."""
     rows = hits.withColumnRenamed("full_score", "score")
     found = H.targets(rows, ["file", "marker", "target"], "line_order").withColumn("gene", F.col("target") if proteins else gene_of_target(F.col("target")))
     if proteins:
@@ -38,12 +46,12 @@ def assess(hits: DataFrame, cutoffs: DataFrame, proteins: bool, by_length: bool)
         kept = H.suppress_overlapping_genes(places, cutoffs)
     kept = kept.withColumn("score", F.col("first_score"))
     ranked = H.classify_by_length(kept, cutoffs) if by_length else H.classify_by_profile(kept)
-    return H.status_flow(H.upsert_rounds(ranked), cutoffs, [F.col("file"), F.col("target")])
+    return H.upsert_rounds(ranked)
 
 
 def second_round(first: DataFrame, later: DataFrame, cutoffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A rerun of incomplete markers: its ranked rows go over the first round's filtered ones (filter_ranks), then all is filtered again."""
-    return H.status_flow(H.upsert_rounds(first, later), cutoffs, [F.col("file"), F.col("target")])
+    return H.status_flow(H.upsert_rounds(first, later), cutoffs, [F.col(c) for c in TIES])
 
 
 def choose_lineage(statuses: DataFrame) -> DataFrame:

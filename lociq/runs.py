@@ -9,6 +9,7 @@ import textwrap
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociq import storage
 from lociq.errors import ConfigError
 
 LOG = logging.getLogger("lociq")
@@ -20,11 +21,11 @@ class RunFolder:
     def __init__(self, out_path: str, out: str, lineage: str, force: bool = False, restart: bool = False):
         self.base = os.path.join(out_path, out)
         self.run = os.path.join(self.base, f"run_{lineage}")
-        if os.path.exists(self.run) and not (force or restart):
+        if storage.exists(self.run) and not (force or restart):
             raise ConfigError(f"{self.run} exists; use force or restart")
-        if force and os.path.exists(self.run):
-            shutil.rmtree(self.run)
-        os.makedirs(self.run, exist_ok=True)
+        if force:
+            storage.delete(self.run)
+        storage.make_folder(self.run)
         self.lineage, self.name = lineage, out
 
     def path(self, *parts: str) -> str:
@@ -44,7 +45,7 @@ def stage(spark: SparkSession, folder: RunFolder, name: str, make, restart: bool
     short makes it again.
     """
     path = folder.path("stages", name)
-    if not (restart and os.path.exists(os.path.join(path, "_SUCCESS"))):
+    if not (restart and storage.exists(os.path.join(path, "_SUCCESS"))):
         make().write.mode("overwrite").parquet(path)
     else:
         LOG.info("%s was done before", name)
@@ -53,20 +54,20 @@ def stage(spark: SparkSession, folder: RunFolder, name: str, make, restart: bool
 
 def profiles(folder: str) -> list[str]:
     """Markers that a data set has a profile of, sorted."""
-    return sorted(os.path.splitext(f)[0] for f in os.listdir(folder) if not f.startswith("."))
+    return sorted(os.path.splitext(f)[0] for f in storage.names(folder))
 
 
 def check_dataset(folder: str, variants: bool = False) -> None:
     """A data set needs profiles, a config and, for translated searches, sequences."""
     for part in ("hmms", "dataset.cfg", *(["ancestral_variants"] if variants else [])):
         p = os.path.join(folder, part)
-        if not os.path.exists(p) or (os.path.isdir(p) and not os.listdir(p)):
+        if not storage.exists(p) or (storage.is_folder(p) and not storage.names(p)):
             raise ConfigError(f"the data set {folder} lacks {part}")
 
 
 def inputs_of(folder: str) -> list[str]:
     """Entries of a batch folder that are not hidden."""
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if not f.startswith("."))
+    return [os.path.join(folder, f) for f in storage.names(folder)]
 
 
 def list_datasets(manifest: DataFrame, kind: str = "all") -> DataFrame:

@@ -32,6 +32,14 @@ def write_table(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.csv(path, sep="\t", mode="overwrite", emptyValue="", nullValue="")
 
 
+def write_report(rows: DataFrame, header: str, path: str) -> None:
+    """Header lines and a sorted table's rows, parted by tabs, in one file; a report of one row per marker or gene."""
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns))
+    body = rows.select(F.struct(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("at")).alias("place"), line.alias("value"))
+    head = rows.sparkSession.createDataFrame(list(enumerate(header.split("\n"))), "at long, value string").select(F.struct(F.lit(0).alias("part"), "at").alias("place"), "value")
+    head.union(body).coalesce(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
+
+
 def write_list(ids: DataFrame, column: str, path: str) -> None:
     ids.select(column).orderBy(column).coalesce(1).write.mode("overwrite").text(path)
 

@@ -33,3 +33,53 @@ def fresh_folder(spark: SparkSession) -> str:
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at(path: str):
+    """(file system, path) of a path of any store that Spark reads."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(path: str) -> bool:
+    fs, p = _at(path)
+    return fs.exists(p)
+
+
+def is_folder(path: str) -> bool:
+    fs, p = _at(path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def names(folder: str) -> list[str]:
+    """Names in a folder that are not hidden, sorted; a folder that is not there has none."""
+    fs, p = _at(folder)
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in found if not n.startswith("."))
+
+
+def size(path: str) -> int:
+    """Bytes of a file or of all files in a folder; 0 if there is none."""
+    fs, p = _at(path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def make_folder(path: str) -> None:
+    fs, p = _at(path)
+    fs.mkdirs(p)
+
+
+def delete(path: str) -> None:
+    fs, p = _at(path)
+    fs.delete(p, True)
+
+
+def write_text(path: str, body: str) -> None:
+    """A small text file, written by the driver."""
+    fs, p = _at(path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(body.encode()))
+    finally:
+        out.close()
