@@ -11,12 +11,15 @@ at equal places: every repeated window shows as two marked suffixes that share
 GRAM bytes or more, and sorting the marked suffixes (about one position in 35)
 finds all of them.
 
+0. A text that also stands under a smaller doc_id loses all its bytes if it has
+   WINDOW of them; only the first of equal texts goes on.
 1. Marks are sent to reducers as blocks of hashes; a mark whose hash occurs
    once has no twin and is done with.
 2. Texts meet their remaining marks.  Each task sorts its suffixes (WINDOW
-   bytes from the mark) and writes runs, one for each reducer, front-coded:
+   bytes from the mark) and writes runs, one for each group, front-coded:
    the count of bytes shared with the suffix before, then the rest.  A run also
-   carries the bytes to the left of each mark.
+   carries the bytes to the left of each mark.  Of marks with the same bytes
+   around them only a run's first is in it; the others' spans are known there.
 3. A reducer merges its runs with a loser tree whose nodes remember how many
    bytes each loser shares with the winner that beat it; bytes known to be
    shared are never compared again, and the merge hands out the common prefix
@@ -26,8 +29,12 @@ finds all of them.
    left they say, for each place of a window around the mark, which windows are
    equal.  The first of each class stays, the others give their bytes.
 
-Reducers are chosen by the hash, so that equal suffixes meet.  A suffix whose
-surroundings repeat exactly is folded into the first of its kind before step 4.
+Groups are chosen by the hash, so that equal suffixes meet, and are as many as
+the texts' bytes ask for; a task sorts its groups and holds one at a time.
+Hashes only choose: what is equal is decided by bytes (classes are numbered, not
+hashed; marks folded for equal surroundings are compared with the first), and
+equal texts by md5.  A passage that very many documents share comes to its
+reducer once from each task.
 
 Null text: empty.  Texts shorter than WINDOW lose nothing.  Equal rows are one
 document (its first copy stays in each); rows of one doc_id with different
@@ -45,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm._common import Scratch, table
+from lociq.llm._common import Scratch, join_back, small_side, table
 from lociq.llm._text import U, mix, pieces, powers, prefix_hashes
 
 WINDOW, GRAM = 100, 32
@@ -53,6 +60,10 @@ SPAN = WINDOW - GRAM + 1  # marks a window can choose from
 LEFT = WINDOW - GRAM  # bytes to the left that a window can reach
 #: Texts that go to Python at a time where each mark becomes an object there.
 TEXTS = 2048
+#: Bytes of text whose marks make a group.
+GROUP_BYTES = 512 << 20
+#: Most tasks that groups are dealt over; a task has its groups one after the other.
+MOST_TASKS = 20_000
 _FOLD = U(0xD6E8FEB86659FD93)
 
 
@@ -106,7 +117,7 @@ def _mark_blocks(n: int):
                 part = slice(cut[g], cut[g + 1])
                 if cut[g] < cut[g + 1]:
                     used, local = np.unique(doc[part], return_inverse=True)
-                    out.append((g, ids[used].tobytes(), keys[used].tobytes(), local.astype(np.uint32).tobytes(), pos[part].astype(np.uint32).tobytes(), h[part].tobytes()))
+                    out.append((g, ids[used].tobytes(), keys[used].tobytes(), local.astype(np.uint32).tobytes(), pos[part].astype(np.uint32).tobytes(), (h[part] >> U(32)).astype(np.uint32).tobytes()))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["grp", "ids", "keys", "doc", "pos", "hash"])
 
@@ -126,46 +137,51 @@ def _route(n: int, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, y: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["grp", "ids", "keys", "x", "y"])
 
 
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each group in turn; rows come sorted by their group."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of whole groups -> (doc_id, text_key, spans): the spans x, y of each document joined."""
-    held: list[list] = [[], [], [], []]
-    for b in batches:
-        for part, c, kind in zip(held, range(1, 5), (np.int64, np.int64, np.uint32, np.uint32), strict=True):
-            part += [np.frombuffer(v, kind) for v in b.column(c).to_pylist()]
-    if not held[0]:
-        return
-    ids, keys, x, y = (np.concatenate(v) for v in held)
-    order = np.lexsort((x, keys, ids))
-    ids, keys, x, y = ids[order], keys[order], x[order].astype(np.int64), y[order].astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
-    ends = np.append(cut[1:], len(ids))
-    for at in range(0, len(cut), 4096):
-        part = slice(at, at + 4096)
-        blobs = [join_spans(x[i:j], y[i:j]).astype(np.uint32).tobytes() for i, j in zip(cut[part], ends[part], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cut[part]]), pa.array(keys[cut[part]]), pa.array(blobs, pa.binary())], names=["doc_id", "text_key", "spans"])
+    for rows in by_group(batches):
+        ids, keys, x, y = (np.concatenate([np.frombuffer(v, kind) for v in part]) for part, kind in zip(list(zip(*rows, strict=True))[1:], (np.int64, np.int64, np.uint32, np.uint32), strict=True))
+        order = np.lexsort((x, keys, ids))
+        ids, keys, x, y = ids[order], keys[order], x[order].astype(np.int64), y[order].astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+        ends = np.append(cut[1:], len(ids))
+        for at in range(0, len(cut), 4096):
+            part = slice(at, at + 4096)
+            blobs = [join_spans(x[i:j], y[i:j]).astype(np.uint32).tobytes() for i, j in zip(cut[part], ends[part], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cut[part]]), pa.array(keys[cut[part]]), pa.array(blobs, pa.binary())], names=["doc_id", "text_key", "spans"])
 
 
 def _with_twins(n: int):
     """Blocks of whole groups -> the marks whose hash occurs again, on their way to their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        for b in batches:
-            for ids, keys, doc, pos, h in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True):
+        for rows in by_group(batches):
+            held: list[list] = [[], [], [], []]
+            for _, ids, keys, doc, pos, h in rows:
                 local = np.frombuffer(doc, np.uint32)
-                for part, x in zip(held, (np.frombuffer(ids, np.int64)[local], np.frombuffer(keys, np.int64)[local], np.frombuffer(pos, np.uint32), np.frombuffer(h, U)), strict=True):
+                for part, x in zip(held, (np.frombuffer(ids, np.int64)[local], np.frombuffer(keys, np.int64)[local], np.frombuffer(pos, np.uint32), np.frombuffer(h, np.uint32)), strict=True):
                     part.append(x)
-        if not held[0]:
-            return
-        ids, keys, pos, h = (np.concatenate(x) for x in held)
-        held.clear()
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        twin = np.zeros(len(h), bool)
-        twin[order[1:]] |= same
-        twin[order[:-1]] |= same
-        if twin.any():
-            yield _route(n, ids[twin], keys[twin], pos[twin], pos[twin])
+            ids, keys, pos, h = (np.concatenate(x) for x in held)
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            twin = np.zeros(len(h), bool)
+            twin[order[1:]] |= same
+            twin[order[:-1]] |= same
+            if twin.any():
+                yield _route(n, ids[twin], keys[twin], pos[twin], pos[twin])
 
     return run
 
@@ -206,7 +222,14 @@ def _runs(n: int):
                     groups.setdefault(grp, []).append((data[p : p + WINDOW], data[max(0, p - LEFT) : p], k, p))
             out = []
             for grp, rows in groups.items():
-                rows.sort()
+                rows.sort(key=lambda r: (r[0], r[1], ids[r[2]], keys[r[2]], r[3]))
+                new = [True, *(x[:2] != y[:2] for x, y in zip(rows[:-1], rows[1:], strict=True))]
+                again = [r for r, first in zip(rows, new, strict=True) if not first and len(r[1]) >= WINDOW - len(r[0])]
+                if again:
+                    known = [(pos - len(left), pos + len(suffix)) for suffix, left, _, pos in again]
+                    x, y = (np.array(v, np.uint32).tobytes() for v in zip(*known, strict=True))
+                    out.append((grp, None, x, y, None, None, np.array([ids[r[2]] for r in again], np.int64).tobytes(), np.array([keys[r[2]] for r in again], np.int64).tobytes(), None))
+                rows = [r for r, first in zip(rows, new, strict=True) if first]
                 shared, sizes, rests = front_code([r[0] for r in rows])
                 left = np.zeros((len(rows), LEFT), np.uint8)
                 for i, r in enumerate(rows):
@@ -326,16 +349,16 @@ def covered(lcp: np.ndarray, size: np.ndarray, left_size: np.ndarray, left: np.n
     """
     m = len(lcp)
     out = np.zeros((m, LEFT + 1), bool)
-    back = np.zeros(m, U)
+    back = np.zeros(m, np.int64)
     by_place = np.argsort(order, kind="stable")
     for d in range(LEFT + 1):
         if d:
-            back = mix(back * _FOLD + left[d - 1].astype(U) + U(1))
+            back = np.unique(back * 257 + left[d - 1] + 1, return_inverse=True)[1]
         live = by_place[(left_size[by_place] >= d) & (size[by_place] >= WINDOW - d)]
         if len(live) < 2:
             continue
         right = np.cumsum(lcp < WINDOW - d)
-        key = mix(mix(back[live]) * _FOLD + right[live].astype(U))
+        key = back[live] * (right[-1] + 1) + right[live]
         first = np.unique(key, return_index=True)[1]
         again = np.ones(len(live), bool)
         again[first] = False
@@ -349,12 +372,13 @@ def _merge(n: int):
 
 def _merged(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Runs of whole groups -> the covered spans (start, end), on their way to their documents."""
-    held: dict[int, list] = {}
-    for b in batches:
-        for grp, *run in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
-            held.setdefault(grp, []).append(run)
-    for grp in list(held):
-        runs = held.pop(grp)
+    for rows in by_group(batches):
+        done = [r for r in rows if r[1] is None]
+        if done:
+            yield _route(n, *(np.concatenate([np.frombuffer(r[k], kind) for r in done]) for k, kind in ((6, np.int64), (7, np.int64), (2, np.uint32), (3, np.uint32))))
+        runs = [list(r[1:]) for r in rows if r[1] is not None]
+        if not runs:
+            continue
         for r in runs:
             r[2], r[4] = _unpacked(r[2]), _unpacked(r[4])
         base = np.cumsum([0, *(len(r[1]) for r in runs)])
@@ -386,7 +410,12 @@ def _merged(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         same = mix(mix(around * _FOLD + left_size.astype(U)) * _FOLD + np.cumsum(~twin).astype(U))
         by_place = np.argsort(place)
         first = np.zeros(len(pos), bool)
-        first[by_place[np.unique(same[by_place], return_index=True)[1]]] = True
+        _, leads, of = np.unique(same[by_place], return_index=True, return_inverse=True)
+        lead = np.empty(len(pos), np.int64)
+        lead[by_place] = by_place[leads][of]
+        suffix = np.cumsum(~twin)
+        first[lead] = True
+        first |= (left != left[:, lead]).any(0) | (left_size != left_size[lead]) | (suffix != suffix[lead])  # only the hashes were equal
         low = np.where(first, -1, np.maximum(0, WINDOW - size))  # first and last place covered, of a folded mark
         high = np.where(first, -1, left_size)
         spans = [np.stack([ids, keys, pos - high, pos - low + WINDOW], 1)[~first & (high >= low)]]
@@ -434,9 +463,9 @@ def join_spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for d, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+        for d, text, spans, whole in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
-            runs = np.frombuffer(spans or b"", np.uint32).reshape(-1, 2).tolist()
+            runs = [(0, len(data))] if whole else np.frombuffer(spans or b"", np.uint32).reshape(-1, 2).tolist()
             kept, at = [], 0
             for i, j in runs:
                 kept.append(data[at:i])
@@ -447,16 +476,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def later_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text_key) of texts of WINDOW bytes or more that also stand under a smaller doc_id; saved."""
+    known = scratch.save(docs.where(F.octet_length("text") >= WINDOW).select("doc_id", "text_key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")))
+    first = scratch.save(known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last"))
+    return scratch.save(join_back(known, "digest", first).where("doc_id <> first").select("doc_id", "text_key").distinct())
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text_key, spans) of each document that loses bytes."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(parts, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
+    grouped = lambda df: df.repartition(min(n, max(parts, MOST_TASKS)), "grp").sortWithinPartitions("grp")
     gathered = "doc_id long, text_key long, spans binary"
     blocks = docs.mapInArrow(_mark_blocks(n), "grp int, ids binary, keys binary, doc binary, pos binary, hash binary")
-    twins = blocks.repartition(n, "grp").mapInArrow(_with_twins(n), ROUTED).repartition(n, "grp").mapInArrow(_gather, gathered)
-    near = docs.join(scratch.save(twins).hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
+    twins = scratch.save(grouped(grouped(blocks).mapInArrow(_with_twins(n), ROUTED)).mapInArrow(_gather, gathered))
+    near = docs.join(small_side(twins, F.length("spans") + 32), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
     runs = near.mapInArrow(_runs(n), "grp int, " + ", ".join(f"{x} binary" for x in RUN_FIELDS))
-    spans = runs.repartition(n, "grp").mapInArrow(_merge(n), ROUTED).repartition(n, "grp").mapInArrow(_gather, gathered)
-    return scratch.save(spans, TEXTS)
+    return scratch.save(grouped(grouped(runs).mapInArrow(_merge(n), ROUTED)).mapInArrow(_gather, gathered), TEXTS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -464,8 +501,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select(known.alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(docs, scratch)
-    both = docs.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    later, keys = later_copies(docs, scratch), ["doc_id", "text_key"]
+    copies = small_side(later, F.lit(16))
+    spans = repeated_spans(docs.join(copies, keys, "left_anti"), scratch)
+    lost = scratch.save(spans.withColumn("whole", F.lit(False)).unionByName(later.select(*keys, F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole"))))
+    both = docs.join(small_side(lost, F.coalesce(F.length("spans"), F.lit(0)) + 32), keys, "left").select("doc_id", "text", "spans", "whole")
     out = both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
@@ -475,4 +515,19 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_array_dedup": op10_suffix_array_dedup}
-SQL: dict[str, str] = {}
+#: Every window by its md5; texts as hexadecimal digits, cut into pieces so that no text is walked again for each window.
+SQL = {
+    "op10_suffix_array_dedup": f"""
+WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, n, k, substr(h, 2 * k + 1, {2 * (2048 + WINDOW)}) AS p FROM (SELECT *, unnest(range(0, n, 2048)) AS k FROM t)),
+w AS (SELECT doc_id, k + j AS place, md5_number(substr(p, 2 * j + 1, {2 * WINDOW})) AS s FROM (SELECT *, unnest(range(0, least(2048, n - {WINDOW} - k + 1))) AS j FROM c)),
+e AS (SELECT doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, place) AS r FROM w) WHERE r > 1),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM (SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + {WINDOW} THEN 0 ELSE 1 END AS new FROM e)),
+r AS (SELECT doc_id, run, min(place) AS low, max(place) + {WINDOW} AS high FROM i GROUP BY doc_id, run),
+o AS (SELECT doc_id, low, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS begin FROM (SELECT doc_id, low, high FROM r UNION ALL SELECT doc_id, n, n FROM t)),
+kept AS (SELECT o.doc_id, string_agg(substr(h, 2 * begin + 1, 2 * (low - begin)), '' ORDER BY low, begin) AS h FROM o JOIN t USING (doc_id) GROUP BY o.doc_id),
+lost AS (SELECT doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM t JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+""",
+}

@@ -7,8 +7,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lociq.llm import decontaminate, licenses, lines, neardup, packing, secrets, toxicity
+from lociq.llm import decontaminate, licenses, lines, neardup, packing, secrets, suffix, toxicity
 
 LONG = "one passage of well over forty characters that many pages hold"
 
@@ -278,6 +279,33 @@ def test_near_duplicates_take_different_texts_of_one_id(spark, monkeypatch):
     assert {x.component_id for x in got if x.doc_id not in (3, 50)} == {0}
 
 
+def test_suffixes_of_many_groups_copies_and_one_hot_passage(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP_BYTES", 500)
+    monkeypatch.setattr(suffix, "MOST_TASKS", 4)
+    r = random.Random(71)
+    hot, bits = "".join(r.choice("abcd ") for _ in range(260)), ["".join(r.choice("xyz") for _ in range(r.randint(1, 130))) for _ in range(12)]
+    texts = ["".join([r.choice(bits), hot[r.randint(0, 60) : r.randint(170, 260)], r.choice(bits)]) for _ in range(120)] + [hot] * 30 + ["é" * 55] * 3 + ["short"] * 9 + ["", None] + ["ab" * 400, "ab" * 300]
+    rows = list(enumerate(texts)) + [(5, texts[5]), (None, hot), (7, "another text of one id " + hot)]
+    seen, want = set(), {}
+    for d, t in sorted({(d, t) for d, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, xxhash_order(spark, x[1]))):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        want.setdefault(d, []).append((len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone)))))
+    got = {}
+    for x in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        got.setdefault(x.doc_id, set()).add((x.n_bytes, x.n_removed, x.n_spans))
+    assert {d: set(v) for d, v in want.items()} == got
+
+
+def xxhash_order(spark, text):
+    """Texts of one doc_id stand in the order of their hash."""
+    return spark.range(1).select(F.xxhash64(F.lit(text).cast("string"))).first()[0]
+
+
 def test_short_license_templates_are_found_inside_texts(spark):
     short = ["Licensed under MIT License", "Released under MIT License", "Licensed under ISC License", "Released under ISC License"]
     texts = [x for t in short for x in (t, f"Some words first. {t.upper()}.", f"{t}, and so on", f"a {t} b", t.replace("under", "under the"), t.rpartition(" ")[0])]
