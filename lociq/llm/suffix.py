@@ -12,7 +12,9 @@ GRAM bytes or more, and sorting the marked suffixes (about one position in 35)
 finds all of them.
 
 0. A text that also stands under a smaller doc_id loses all its bytes if it has
-   WINDOW of them; only the first of equal texts goes on.
+   WINDOW of them; only the first of equal texts goes on, as long as the list of
+   the others is small enough to be sent to every task (it saves work only: the
+   steps below find the same).
 1. Marks are sent to reducers as blocks of hashes; a mark whose hash occurs
    once has no twin and is done with.
 2. Texts meet their remaining marks.  Each task sorts its suffixes (WINDOW
@@ -52,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm._common import Scratch, join_back, small_side, table
+from lociq.llm._common import BROADCAST_BYTES, Scratch, join_back, table
 from lociq.llm._text import U, mix, pieces, powers, prefix_hashes
 
 WINDOW, GRAM = 100, 32
@@ -223,13 +225,17 @@ def _runs(n: int):
             out = []
             for grp, rows in groups.items():
                 rows.sort(key=lambda r: (r[0], r[1], ids[r[2]], keys[r[2]], r[3]))
-                new = [True, *(x[:2] != y[:2] for x, y in zip(rows[:-1], rows[1:], strict=True))]
-                again = [r for r, first in zip(rows, new, strict=True) if not first and len(r[1]) >= WINDOW - len(r[0])]
+                firsts, again = [], []
+                for r in rows:  # repeated rows of a document are the document itself
+                    if not firsts or r[:2] != firsts[-1][:2]:
+                        firsts.append(r)
+                    elif len(r[1]) >= WINDOW - len(r[0]) and (ids[r[2]], keys[r[2]], r[3]) != (ids[firsts[-1][2]], keys[firsts[-1][2]], firsts[-1][3]):
+                        again.append(r)
                 if again:
                     known = [(pos - len(left), pos + len(suffix)) for suffix, left, _, pos in again]
                     x, y = (np.array(v, np.uint32).tobytes() for v in zip(*known, strict=True))
                     out.append((grp, None, x, y, None, None, np.array([ids[r[2]] for r in again], np.int64).tobytes(), np.array([keys[r[2]] for r in again], np.int64).tobytes(), None))
-                rows = [r for r, first in zip(rows, new, strict=True) if first]
+                rows = firsts
                 shared, sizes, rests = front_code([r[0] for r in rows])
                 left = np.zeros((len(rows), LEFT), np.uint8)
                 for i, r in enumerate(rows):
@@ -491,7 +497,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     gathered = "doc_id long, text_key long, spans binary"
     blocks = docs.mapInArrow(_mark_blocks(n), "grp int, ids binary, keys binary, doc binary, pos binary, hash binary")
     twins = scratch.save(grouped(grouped(blocks).mapInArrow(_with_twins(n), ROUTED)).mapInArrow(_gather, gathered))
-    near = docs.join(small_side(twins, F.length("spans") + 32), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
+    near = docs.join(twins.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
     runs = near.mapInArrow(_runs(n), "grp int, " + ", ".join(f"{x} binary" for x in RUN_FIELDS))
     return scratch.save(grouped(grouped(runs).mapInArrow(_merge(n), ROUTED)).mapInArrow(_gather, gathered), TEXTS)
 
@@ -502,10 +508,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select(known.alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     later, keys = later_copies(docs, scratch), ["doc_id", "text_key"]
-    copies = small_side(later, F.lit(16))
-    spans = repeated_spans(docs.join(copies, keys, "left_anti"), scratch)
+    if later.count() * 16 > BROADCAST_BYTES:
+        later = later.where("false")
+    spans = repeated_spans(docs.join(F.broadcast(later), keys, "left_anti"), scratch)
     lost = scratch.save(spans.withColumn("whole", F.lit(False)).unionByName(later.select(*keys, F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole"))))
-    both = docs.join(small_side(lost, F.coalesce(F.length("spans"), F.lit(0)) + 32), keys, "left").select("doc_id", "text", "spans", "whole")
+    both = docs.join(lost.hint("merge"), keys, "left").select("doc_id", "text", "spans", "whole")
     out = both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 

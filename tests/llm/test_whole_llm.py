@@ -296,11 +296,19 @@ def test_suffixes_of_many_groups_copies_and_one_hot_passage(spark, monkeypatch):
             seen.add(b[i : i + 100])
         want.setdefault(d, []).append((len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone)))))
     got = {}
-    for x in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+    for x in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():  # batches of several rows
         got.setdefault(x.doc_id, set()).add((x.n_bytes, x.n_removed, x.n_spans))
     assert {d: set(v) for d, v in want.items()} == got
 
 
+def test_repeated_rows_in_one_batch_are_one_document(spark):
+    r = random.Random(72)
+    text = "".join(r.choice("abcdefgh") for _ in range(400))
+    rows = [(1, text), (1, text), (2, text[:250] + "x" * 30), (2, text[:250] + "x" * 30)]
+    got = [(x.doc_id, x.n_removed) for x in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(got) == [(1, 0), (1, 0), (2, 250), (2, 250)]
+
+
 def xxhash_order(spark, text):
     """Texts of one doc_id stand in the order of their hash."""
     return spark.range(1).select(F.xxhash64(F.lit(text).cast("string"))).first()[0]
