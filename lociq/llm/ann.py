@@ -1,11 +1,13 @@
 """Nearest neighbours by a block matrix join.
 
 Queries and candidates are cut into blocks by a hash of their id; every pair
-of blocks meets in one tile.  A tile multiplies int8 copies of the unit
-vectors, which gives each cosine with a proven error bound; pairs whose upper
-bound reaches the k-th best lower bound of their query are recomputed in
-double precision, and heaps merge the tiles' best.  The bounds make the result
-exact: nothing is lost to quantisation.
+of blocks meets in one tile.  Only int8 copies of the unit vectors travel to the
+tiles, with their scales, errors and norms; their products give each cosine with
+a proven error bound.  Pairs whose upper bound reaches the k-th best lower bound
+of their query, first in the tile and then over all tiles, are recomputed in
+double precision from the original vectors, fetched for them alone, and heaps
+merge the best.  The bounds make the result exact: nothing is lost to
+quantisation.
 
 Rows with a null id, and vectors that are null, empty, zero or hold null or
 non-finite components, take no part; vectors of different length are not compared.  Ties go to the smaller
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm._common import table
+from lociq.llm._common import Scratch, table
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 
@@ -34,8 +36,11 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0))
 
 
+PACKED = "block long, dim int, ids binary, raw binary, small binary, facts binary"
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, dim, id, vector) of whole blocks -> one row per block and dim."""
+    """Rows (block, dim, id, vector) of whole blocks -> one row per block and dim; facts are scale, error and norm of each row."""
     held: dict = {}
     for b in batches:
         for block, dim, i, v in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
@@ -44,23 +49,32 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vectors.append(v.values.to_numpy(zero_copy_only=False).astype(np.float64))
     for (block, dim), (ids, vectors) in held.items():
         raw = np.stack(vectors)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary())], names=["block", "dim", "ids", "raw"])
+        small, *facts = quantise(raw)
+        data = (np.array(ids, np.int64), raw, small, np.stack(facts))
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([dim], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data)], names=["block", "dim", "ids", "raw", "small", "facts"])
 
 
 def blocks(df: DataFrame, id_col: str, vector: str, n: int) -> DataFrame:
     rows = df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.size(vector).alias("dim"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.repartition(n, "block").mapInArrow(_pack, "block long, dim int, ids binary, raw binary")
+    return rows.repartition(n, "block").mapInArrow(_pack, PACKED)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks -> their rows (block, dim, place, id, raw vector)."""
+    for b in batches:
+        for block, dim, ids, raw in zip(*(b.column(n).to_pylist() for n in ("block", "dim", "ids", "raw")), strict=True):
+            n, width = len(ids) // 8, 8 * dim
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([dim] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(np.frombuffer(ids, np.int64)), pa.array([raw[i * width : (i + 1) * width] for i in range(n)], pa.binary())], names=["block", "dim", "place", "id", "raw"])
 
 
 def quantise(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows (held as floats so that BLAS multiplies them exactly), scales, error norms, norms of the int8 copies."""
+    """int8 rows, scales, error norms, norms of the int8 copies."""
     unit = raw / np.abs(raw).max(1, keepdims=True)
     unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
     scale = np.abs(unit).max(1) / 127
     small = np.rint(unit / scale[:, None]).astype(np.int8)
     back = small * scale[:, None]
-    exact = np.float32 if raw.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    return small.astype(exact), scale, np.sqrt(((unit - back) ** 2).sum(1)), np.sqrt((back * back).sum(1))
+    return small, scale, np.sqrt(((unit - back) ** 2).sum(1)), np.sqrt((back * back).sum(1))
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,29 +92,78 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _tile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, qi, qraw, ci, craw in zip(*(b.column(n).to_pylist() for n in ("dim", "q_ids", "q_raw", "ids", "raw")), strict=True):
-                qi, ci = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                q, c = np.frombuffer(qraw).reshape(-1, dim), np.frombuffer(craw).reshape(-1, dim)
-                c8, cs, ce, cn = quantise(c)
+            for q_block, block, dim, q_ids, q_small, q_facts, ids, small, facts in zip(*(b.column(n).to_pylist() for n in ("q_block", "block", "dim", "q_ids", "q_small", "q_facts", "ids", "small", "facts")), strict=True):
+                exact = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # BLAS multiplies small whole numbers exactly
+                qi, ci = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                q8, c8 = (np.frombuffer(x, np.int8).reshape(-1, dim).astype(exact) for x in (q_small, small))
+                (qs, qe, _), (cs, ce, cn) = (np.frombuffer(x).reshape(3, -1) for x in (q_facts, facts))
+                found: list[list] = [[], [], [], []]
                 for at in range(0, len(qi), 128):
-                    part, ids = q[at : at + 128], qi[at : at + 128]
-                    q8, qs, qe, _ = quantise(part)
-                    near = (q8 @ c8.T).astype(np.float64) * qs[:, None] * cs[None, :]
-                    slack = qe[:, None] * cn[None, :] + ce[None, :] + 1e-9
-                    own = ids[:, None] == ci[None, :]
+                    part = slice(at, at + 128)
+                    near = (q8[part] @ c8.T).astype(np.float64) * qs[part, None] * cs[None, :]
+                    slack = qe[part, None] * cn[None, :] + ce[None, :] + 1e-9
+                    own = qi[part, None] == ci[None, :]
                     low = np.where(own, -np.inf, near - slack)
-                    floor = np.partition(low, len(ci) - k, axis=1)[:, len(ci) - k] if len(ci) > k else np.full(len(ids), -np.inf)
+                    floor = np.partition(low, len(ci) - k, axis=1)[:, len(ci) - k] if len(ci) > k else np.full(len(low), -np.inf)
                     rows, cols = np.nonzero((near + slack >= floor[:, None]) & ~own)
-                    score = np.concatenate([cosines(part[rows[i : i + 65536]], c[cols[i : i + 65536]]) for i in range(0, len(rows), 65536)] or [np.empty(0)])
-                    order = np.lexsort((ci[cols], -score, rows))
-                    rows, cols, score = rows[order], cols[order], score[order]
-                    first = np.searchsorted(rows, rows)
-                    keep = np.arange(len(rows)) - first < k
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]]), pa.array(ci[cols[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+                    for x, y in zip(found, (rows + at, cols, low[rows, cols], (near + slack)[rows, cols]), strict=True):
+                        x.append(y)
+                data = [np.concatenate(x).astype(t).tobytes() for x, t in zip(found, (np.int32, np.int32, np.float64, np.float64), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([q_block], pa.int64()), pa.array([dim], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names=["q_block", "dim", "block", "q_place", "place", "low", "high"])
 
     return run
 
 
+def within_reach(q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs' upper bound reaches the k-th best lower bound of their query."""
+    order = np.lexsort((-low, q))
+    first = np.searchsorted(q[order], q[order])
+    kth = first + k - 1
+    inside = kth < len(q)
+    inside[inside] = q[order][kth[inside]] == q[order][inside]
+    floor = np.where(inside, low[order][np.minimum(kth, len(q) - 1)], -np.inf)
+    out = np.empty(len(q), bool)
+    out[order] = high[order] >= floor
+    return out
+
+
+def _narrow(k: int):
+    """Tiles of whole query blocks, sorted by them -> the pairs that may be among the best of all tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, [np.zeros(0, t) for t in (np.int32, np.int64, np.int32, np.float64, np.float64)]
+
+        def rows() -> pa.RecordBatch:
+            n = len(held[0])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), *map(pa.array, held[:3])], names=["q_block", "dim", "q_place", "block", "place"])
+
+        for b in batches:
+            for q_block, dim, block, *data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key not in (None, (q_block, dim)):
+                    yield rows()
+                    held = [x[:0] for x in held]
+                key = q_block, dim
+                q, c, low, high = (np.frombuffer(x, t) for x, t in zip(data, (np.int32, np.int32, np.float64, np.float64), strict=True))
+                held = [np.concatenate(x) for x in zip(held, (q, np.full(len(q), block), c, low, high), strict=True)]
+                kept = within_reach(held[0], held[3], held[4], k)
+                held = [x[kept] for x in held]
+        if key is not None:
+            yield rows()
+
+    return run
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = np.zeros(len(b))
+        dims = b.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            x, y = (np.frombuffer(b"".join(b.column(n).take(pa.array(at)).to_pylist())).reshape(-1, dim) for n in ("q_raw", "raw"))
+            out[at] = cosines(x, y)
+        yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(out)], names=["query_id", "vec_id", "score"])
+
+
 def _merge(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}
@@ -121,11 +184,18 @@ def _merge(k: int):
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest cosine of each query, its own id excepted."""
     queries, candidates = (usable(df.select(id_col, vector).where(F.col(id_col).isNotNull()), vector) for df in (queries, candidates))
+    queries, scratch = queries.distinct(), Scratch(queries.sparkSession)
     nq, nc = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (candidates, CANDIDATE_BLOCK)))
-    q = blocks(queries, id_col, vector, nq).select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("block"))
-    c = blocks(candidates, id_col, vector, nc).select("block", "dim", "ids", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("q_block"))
-    tiles = q.join(c, ["q_block", "block", "dim"]).select("dim", "q_ids", "q_raw", "ids", "raw")
-    found = tiles.mapInArrow(_tile(k), "query_id long, vec_id long, score double")
+    q, c = (scratch.save(blocks(df, id_col, vector, n)) for df, n in ((queries, nq), (candidates, nc)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q_small = q.select(F.col("block").alias("q_block"), "dim", *(F.col(x).alias(f"q_{x}") for x in ("ids", "small", "facts")), every(nc).alias("block"))
+    tiles = q_small.join(c.select("block", "dim", "ids", "small", "facts", every(nq).alias("q_block")), ["q_block", "block", "dim"])
+    met = tiles.mapInArrow(_tile(k), "q_block long, dim int, block long, q_place binary, place binary, low binary, high binary")
+    met = met.repartition("q_block", "dim").sortWithinPartitions("q_block", "dim").mapInArrow(_narrow(k), "q_block long, dim int, q_place int, block long, place int")
+    q_rows, c_rows = (df.select("block", "dim", "ids", "raw").mapInArrow(_unpack, "block long, dim int, place int, id long, raw binary") for df in (q, c))
+    q_rows = q_rows.select(F.col("block").alias("q_block"), "dim", F.col("place").alias("q_place"), F.col("id").alias("query_id"), F.col("raw").alias("q_raw"))
+    near = met.join(c_rows.withColumnRenamed("id", "vec_id"), ["block", "dim", "place"]).join(q_rows, ["q_block", "dim", "q_place"])
+    found = near.select("query_id", "vec_id", "dim", "q_raw", "raw").mapInArrow(_score, "query_id long, vec_id long, score double")
     return found.repartition("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
