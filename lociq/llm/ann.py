@@ -7,7 +7,10 @@ a proven error bound.  Pairs whose upper bound reaches the k-th best lower bound
 of their query, first in the tile and then over all tiles, are recomputed in
 double precision from the original vectors, fetched for them alone, and heaps
 merge the best.  The bounds make the result exact: nothing is lost to
-quantisation.
+quantisation.  Of candidates with equal vectors only those of the k + 1 smallest
+ids take part: all have one score, ties go to the smaller id, and a query leaves
+out at most its own id.  So a vector that very many rows share is thinned before
+the shuffle and never fills a task.
 
 Rows with a null id, and vectors that are null, empty, zero or hold null or
 non-finite components, take no part; vectors of different length are not compared.  Ties go to the smaller
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociq.llm._common import Scratch, table
@@ -181,10 +184,18 @@ def _merge(k: int):
     return run
 
 
+def few_copies(df: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+    """Of equal vectors the rows of the k + 1 smallest ids, at most k rows of one id."""
+    same = Window.partitionBy(vector)
+    ranked = df.withColumn("_id", F.dense_rank().over(same.orderBy(id_col))).where(F.col("_id") <= k + 1)
+    return ranked.withColumn("_row", F.row_number().over(Window.partitionBy(vector, id_col).orderBy(id_col))).where(F.col("_row") <= k).drop("_id", "_row")
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest cosine of each query, its own id excepted."""
     queries, candidates = (usable(df.select(id_col, vector).where(F.col(id_col).isNotNull()), vector) for df in (queries, candidates))
     queries, scratch = queries.distinct(), Scratch(queries.sparkSession)
+    candidates = scratch.save(few_copies(candidates, id_col, vector, k))
     nq, nc = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (candidates, CANDIDATE_BLOCK)))
     q, c = (scratch.save(blocks(df, id_col, vector, n)) for df, n in ((queries, nq), (candidates, nc)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociq.llm import decontaminate, licenses, lines, neardup, packing, secrets, suffix, toxicity
+from lociq.llm import ann, decontaminate, licenses, lines, neardup, packing, secrets, suffix, toxicity
 
 LONG = "one passage of well over forty characters that many pages hold"
 
@@ -314,6 +314,25 @@ def xxhash_order(spark, text):
     return spark.range(1).select(F.xxhash64(F.lit(text).cast("string"))).first()[0]
 
 
+def test_a_vector_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", 40)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(400, 6))
+    v[50:300] = v[50]
+    v[0] = v[50]
+    ids = [*range(400), *[0] * 9, *[120] * 8, 7]
+    rows = [(i, v[i].tolist()) for i in ids]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    assert ann.few_copies(df, "vec_id", "embedding", 5).count() == 149 + 1 + 5 + 5
+    got = {}
+    for x in ann.nearest(df.where("vec_id % 20 = 0"), df, 5).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id))
+    for q in range(0, 400, 20):
+        want = sorted((-s, i) for i, s in zip(ids, ann.cosines(np.repeat(v[q : q + 1], len(ids), 0), v[ids])) if i != q)[:5]
+        assert sorted(got[q]) == [(k, i) for k, (_, i) in enumerate(want, 1)]
+
+
 def test_short_license_templates_are_found_inside_texts(spark):
     short = ["Licensed under MIT License", "Released under MIT License", "Licensed under ISC License", "Released under ISC License"]
     texts = [x for t in short for x in (t, f"Some words first. {t.upper()}.", f"{t}, and so on", f"a {t} b", t.replace("under", "under the"), t.rpartition(" ")[0])]
