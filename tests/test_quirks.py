@@ -314,3 +314,28 @@ def test_the_flow_reports_one_fragment_per_marker(spark):
     assert {x.gene for x in kept.collect()} == {"b", "d", "e", "g"}
     assert {x.marker: x.status for x in statuses.collect()} == {"1at2": "Fragmented", "2at2": "Fragmented", "3at2": "Duplicated"}
     assert hits.result_table(statuses, kept).count() == 4
+
+
+def test_islands_of_exons_are_settled_as_the_whole_contig(spark):
+    r = random.Random(12)
+    rows = []
+    for g in range(60):
+        marker, contig, strand, at = f"{g % 25}at2", r.choice("cd"), r.choice("++-"), r.randrange(0, 6000)
+        gene, score = f"{marker}|{contig}:{at}-{g}|{strand}", float(r.randrange(40, 90))
+        for _ in range(r.randrange(1, 4)):
+            size = r.randrange(30, 200)
+            rows.append((gene, marker, contig, at, at + size, strand, score))
+            at += size + r.randrange(3, 90)
+    env = [(m, g, a := r.randrange(1, 60), a + r.randrange(5, 60)) for m, g in sorted({(x[1], x[0]) for x in rows})]
+    df = spark.createDataFrame(rows, "gene string, marker string, contig string, low long, high long, strand string, score double")
+    got = exons.resolve_overlaps(df, spark.createDataFrame(env, "marker string, gene string, env_from long, env_to long")).collect()
+    want = []
+    for contig in "cd":
+        matches = {}
+        for x in rows:
+            if x[2] == contig:
+                m = matches.setdefault((x[1], x[0]), exons.Match(x[0], x[1], x[6], [e[2:] for e in env if e[:2] == (x[1], x[0])]))
+                m.exons.append(E(x[0], x[1], x[3], x[4], x[6], x[5]))
+        gone = exons.eliminate(list(matches.values()))
+        want += [(contig, *(b[k] for k in ("marker", "gene", "new_gene", "new_low", "new_high", "start_trim", "end_trim"))) for m in matches.values() if (b := exons.rebuild(m, gone))]
+    assert sorted(tuple(x)[:8] for x in got) == sorted(want) and len(want) < 60
