@@ -15,13 +15,16 @@ from lociq.llm._common import Scratch, small_side, table
 
 #: Characters of a lone line (some fifty words) that goes even between different neighbours.
 PASSAGE_CHARS = 250
+#: Most whole texts that go to Python at a time: an executor holds each batch several times over on its way there and back.
+TEXTS = 512
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier chain calls toxic."""
     models, thresholds = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return toxicity.score(rows, models).where(F.col("p_toxic") < thresholds[-1]).select("row.*")
+    rows = docs.select(F.struct(*("`" + c.replace("`", "``") + "`" for c in docs.columns if c != "text")).alias("row"), "text")
+    kept = toxicity.score(rows, models).where(F.col("p_toxic") < thresholds[-1])
+    return Scratch(spark).save(kept.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns)), batch=TEXTS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark item."""
     found = decontaminate.find_items(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(small_side(Scratch(spark).save(found), F.lit(16)), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_side(Scratch(spark).save(found, batch=TEXTS), F.lit(16)), "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

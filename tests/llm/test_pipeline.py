@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from lociq.llm import toxicity
 from lociq.llm._common import Scratch, connected_components
 
 
@@ -46,6 +47,22 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == docs.count()
 
 
+def test_texts_go_to_the_classifier_in_small_batches(spark, tmp_path, monkeypatch):
+    d = str(tmp_path)
+    rows = planted(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet").crossJoin(spark.range(20).select()).coalesce(1)
+    most, plain = corpus_pipeline.TEXTS, toxicity.predict_chain
+
+    def checked(models, sets):
+        assert len(sets) <= most, len(sets)
+        return plain(models, sets)
+
+    monkeypatch.setattr(toxicity, "predict_chain", checked)
+    left = corpus_pipeline.drop_toxic(spark, docs, d)
+    assert left.columns == docs.columns and left.count() == 20 * 125 > most
+    assert {tuple(r) for r in left.collect()} == {(*r, None if r[1] is None else len(r[1]), "x", "y") for k, r in rows.items() if not 200 <= k < 300}
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     d = str(tmp_path)
     planted(spark, d)
