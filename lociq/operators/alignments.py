@@ -6,6 +6,8 @@ needed protein, cigar and identity.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heapreplace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,22 +21,76 @@ from lociq.operators.intervals import BIN, islands
 SHARED = 0.80
 
 
+#: Neighbours of places that are held at a time.
+HELD = 1 << 20
+
+
 def _suppressed(g: pd.DataFrame) -> pd.DataFrame:
-    """aln_id of the rows of one island that the sequential rule removes; only rows in reach of each other are compared."""
+    """aln_id of the rows of one island that the sequential rule removes.
+
+    Rows of one place (start and end) have the same neighbours, so a turn goes
+    through the rows left of the places near its own, merged by their order, and
+    ends at the first that scores higher; all before it are removed, each once.
+    """
     g = g.sort_values("aln_id", kind="stable")
     ids, start, end, score = (g[c].to_numpy() for c in ("aln_id", "start", "end", "score"))
-    size, gone, order = end - start, np.zeros(len(g), bool), np.argsort(start, kind="stable")
-    sorted_start, reach = start[order], size.max()
-    for i in range(len(g)):
+    n = len(g)
+    order = np.lexsort((np.arange(n), end, start))
+    new = np.ones(n, bool)
+    new[1:] = (np.diff(start[order]) != 0) | (np.diff(end[order]) != 0)
+    head = np.flatnonzero(new)  # the first row left of each place, as a position in order; -1 if none is
+    low, high = start[order][head], end[order][head]
+    size, reach = high - low, (high - low).max()
+    before, after = np.arange(n) - 1, np.arange(n) + 1  # the rows left beside a row in its place
+    before[head], after[head[1:] - 1], after[-1] = -1, -1, -1
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    gone, near, held = np.zeros(n, bool), {}, 0
+
+    def neighbours(p: int) -> np.ndarray:
+        q = np.arange(np.searchsorted(low, low[p] - reach), np.searchsorted(low, high[p]))
+        inside = ((low[q] >= low[p]) & (low[q] < high[p])) | ((high[q] > low[p]) & (high[q] <= high[p]))
+        shared = np.minimum(high[q], high[p]) - np.maximum(low[q], low[p]) > SHARED * np.maximum(size[q], size[p])
+        return q[inside & shared & (low[q] > 0)]
+
+    def remove(x: int) -> None:
+        j, b, a = order[x], before[x], after[x]
+        gone[j] = True
+        if b < 0:
+            head[place[j]] = a
+        else:
+            after[b] = a
+        if a >= 0:
+            before[a] = b
+
+    at = np.empty(n, np.int64)
+    at[order] = np.arange(n)
+    for i in range(n):
         if gone[i]:
             continue
-        j = np.sort(order[np.searchsorted(sorted_start, start[i] - reach) : np.searchsorted(sorted_start, end[i])])
-        inside = ((start[j] >= start[i]) & (start[j] < end[i])) | ((end[j] > start[i]) & (end[j] <= end[i]))
-        shared = np.minimum(end[j], end[i]) - np.maximum(start[j], start[i]) > SHARED * np.maximum(size[j], size[i])
-        j = j[inside & shared & ~gone[j] & (start[j] > 0) & (ids[j] != ids[i])]
-        better = np.flatnonzero(score[j] > score[i])
-        gone[j[: better[0]] if len(better) else j] = True
-        gone[i] = len(better) > 0
+        p = int(place[i])
+        if p not in near:
+            if held > HELD:
+                near, held = {}, 0
+            near[p] = neighbours(p)
+            held += len(near[p])
+        x = head[near[p]]
+        x = x[x >= 0]
+        left = list(zip(order[x].tolist(), x.tolist()))
+        heapify(left)
+        mine, least = ids[i], score[i]
+        while left:
+            j, x = left[0]
+            if ids[j] != mine:
+                if score[j] > least:
+                    remove(at[i])
+                    break
+                remove(x)
+            a = int(after[x])
+            if a >= 0:
+                heapreplace(left, (int(order[a]), a))
+            else:
+                heappop(left)
     return pd.DataFrame({"aln_id": ids[gone]})
 
 
