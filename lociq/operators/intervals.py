@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.storage import size
+
+
+#: Bytes of input files for a partition of rows that one task sorts.
+PART_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows parted by keys, in partitions whose number grows with the input files, so that a task's rows do not; as they are if the files are small or unknown."""
+    n = -(-sum(map(size, df.inputFiles())) // PART_BYTES)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
+
 
 def union_length(df: DataFrame, keys: list[str], start: str, end: str, name: str = "matched_length") -> DataFrame:
     """Inclusive length of the union of [start, end] per keys: each interval adds what lies beyond the furthest end before it."""
     before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max(end).over(before), F.col(start) - 1)
     new = F.greatest(F.lit(0), F.col(end) - F.greatest(reach, F.col(start) - 1))
-    return df.select(*keys, new.cast("bigint").alias("_new")).groupBy(*keys).agg(F.sum("_new").alias(name))
+    rows = dealt(df.select(*keys, start, end), keys)
+    return rows.select(*keys, new.cast("bigint").alias("_new")).groupBy(*keys).agg(F.sum("_new").alias(name))
 
 
 #: Positions of a bin in which the islands of a long key are numbered by tasks of their own.

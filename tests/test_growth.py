@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lociq.operators import alignments, exons
+from lociq.operators import alignments, exons, intervals
 from lociq.operators.intervals import islands, islands_of_bins
 from lociq.plans import catalog
 
@@ -83,3 +83,12 @@ def test_alignments_of_one_place_take_few_turns():
     frame = pd.DataFrame({"aln_id": k, "start": k * 37 % 600, "end": k * 37 % 600 + 40 + k % 25, "score": np.random.default_rng(3).random(len(k))})
     began = time.process_time()
     assert 0 < len(alignments._suppressed(frame)) < len(k) and time.process_time() - began < 20
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    rows = spark.range(200).selectExpr("concat('k', id % 7) k", "id * 5 s", "id * 5 + id % 11 e")
+    rows.repartition(5).write.parquet(f"{tmp_path}/t")
+    df, before = spark.read.parquet(f"{tmp_path}/t"), intervals.union_length(rows, ["k"], "s", "e").collect()
+    monkeypatch.setattr(intervals, "PART_BYTES", 100)
+    assert intervals.dealt(df, ["k"]).rdd.getNumPartitions() > 40
+    assert sorted(intervals.union_length(df, ["k"], "s", "e").collect()) == sorted(before)
