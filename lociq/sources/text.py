@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.functions.scalars import key_values
+from lociq.sources.sinks import RECORD
 
 FILE = "_metadata.file_name"
 
@@ -140,6 +141,14 @@ def repeated_ids(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).count().where("count > 1").select(column)
 
 
+def marker_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(marker, value, columns of folders) of the records that sinks.write_by_marker wrote."""
+    df = spark.read.option("lineSep", RECORD).text(path).where("value <> ''")
+    at = F.locate("\n", F.col("value"))
+    body = F.substring("value", at + 1, F.length("value") - at - 1)
+    return df.select(F.substring("value", F.lit(1), at - 1).alias("marker"), body.alias("value"), *(c for c in df.columns if c != "value"))
+
+
 def prokaryotic_genes(fasta_rows: DataFrame) -> DataFrame:
     """Genes of a prokaryotic predictor: places from the description, contig from the id, a new id contig:start-end|strand."""
     p = F.split("description", " # ")

@@ -109,3 +109,10 @@ def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(intervals, "PART_BYTES", 100)
     assert intervals.dealt(df, ["k"]).rdd.getNumPartitions() > 40
     assert sorted(intervals.union_length(df, ["k"], "s", "e").collect()) == sorted(before)
+
+
+@pytest.mark.parametrize("name", ["marker_fasta_files", "marker_gff_files"])
+def test_files_do_not_grow_with_the_markers(spark, name):
+    """200 markers had a folder each."""
+    rows = catalog.queries()[name](spark, DATA)
+    assert rows.select("marker").distinct().count() > 50 and len(rows.inputFiles()) <= 12
