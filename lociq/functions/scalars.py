@@ -143,20 +143,23 @@ FLANKING_MATCHES = 20
 
 def frameshifts(cigar: Column) -> Column:
     """struct<events, length>: F and G operations with 20 or more matches on both sides within their exon (exons part at N, U, V)."""
-    tokens = cigar_tokens(cigar)
-    begin = F.struct(F.lit(0).alias("exon"), F.lit(0).alias("m"), F.array().cast("array<struct<exon:int,before:int,n:int,op:string>>").alias("out"))
+    none = F.struct(F.lit(0).alias("events"), F.lit(0).alias("length"))
+    begin = F.struct(F.lit(0).alias("m"), F.array().cast("array<struct<before:int,n:int>>").alias("seen"))
 
     def step(acc: Column, t: Column) -> Column:
-        cut = t["op"].isin("N", "U", "V")
-        exon = acc["exon"] + cut.cast("int")
-        m = F.when(cut, 0).when(t["op"] == "M", acc["m"] + t["n"]).otherwise(acc["m"])
-        seen = F.struct(acc["exon"].alias("exon"), acc["m"].alias("before"), t["n"].alias("n"), t["op"].alias("op"))
-        out = F.when(t["op"].isin("F", "G"), F.array_append(acc["out"], seen)).otherwise(acc["out"])
-        return F.struct(exon.alias("exon"), m.alias("m"), out.alias("out"))
-
-    whole = F.transform(F.split(cigar, r"[0-9]+[NUV]"), lambda e: F.aggregate(cigar_tokens(e), F.lit(0), lambda acc, t: acc + F.when(t["op"] == "M", t["n"]).otherwise(0)))
-    events = F.filter(F.aggregate(tokens, begin, step, lambda acc: acc["out"]), lambda x: (x["before"] >= FLANKING_MATCHES) & (F.get(whole, x["exon"]) - x["before"] >= FLANKING_MATCHES))
-    return F.struct(F.size(events).alias("events"), F.aggregate(events, F.lit(0), lambda acc, x: acc + x["n"]).alias("length"))
+        m = F.when(t["op"] == "M", acc["m"] + t["n"]).otherwise(acc["m"])
+        shift = t["op"].isin("F", "G") & (acc["m"] >= FLANKING_MATCHES)
+        return F.struct(m.alias("m"), F.when(shift, F.array_append(acc["seen"], F.struct(acc["m"].alias("before"), t["n"].alias("n")))).otherwise(acc["seen"]).alias("seen"))
+
+    def add(acc: Column, n: Column) -> Column:
+        return F.struct((acc["events"] + 1).alias("events"), (acc["length"] + n).alias("length"))
+
+    def of_exon(total: Column, exon: Column) -> Column:
+        """What the exon's operations add; its tokens are gone through once."""
+        inside = F.aggregate(cigar_tokens(exon), begin, step, lambda acc: F.transform(F.filter(acc["seen"], lambda x: acc["m"] - x["before"] >= FLANKING_MATCHES), lambda x: x["n"]))
+        return F.aggregate(inside, total, add)
+
+    return F.aggregate(F.filter(F.split(cigar, r"[0-9]+[NUV]"), lambda e: e.rlike("[FG]")), none, of_exon)
 
 
 def internal_stops(protein: Column) -> Column:

@@ -6,7 +6,9 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lociq.functions import scalars
 from lociq.operators import alignments, exons, intervals
 from lociq.operators.intervals import islands, islands_of_bins
 from lociq.plans import catalog
@@ -116,3 +118,10 @@ def test_files_do_not_grow_with_the_markers(spark, name):
     """200 markers had a folder each."""
     rows = catalog.queries()[name](spark, DATA)
     assert rows.select("marker").distinct().count() > 50 and len(rows.inputFiles()) <= 12
+
+
+def test_frameshifts_search_each_exon_once(spark):
+    """The tokens of a string were made for each event anew."""
+    plan = spark.range(1).select(scalars.frameshifts(F.concat(F.lit("30M2F30M9N20M"), F.col("id").cast("string"), F.lit("G40M"))).alias("f"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert plan.first().f == (2, 2)
