@@ -35,12 +35,21 @@ def n50(lengths: DataFrame, keys: list[str], length: str, name: str) -> DataFram
 
 
 def metrics(seqs: DataFrame, keys: list[str], gap: int = 10) -> DataFrame:
-    """Scaffolds, contigs (parted by gap or more Ns), total length, gap share and both N50s."""
-    scaffolds = seqs.select(*keys, F.length("seq").alias("len"), F.length(F.regexp_replace("seq", "[^Nn]", "")).alias("n"))
-    contigs = seqs.select(*keys, F.explode(F.split("seq", f"[Nn]{{{gap},}}")).alias("part")).select(*keys, F.length("part").alias("len")).where("len > 0")
-    facts = scaffolds.groupBy(*keys).agg(F.count("*").alias("n_scaffolds"), F.sum("len").alias("total_length"), F.sum("n").alias("n_gap"))
-    facts = facts.join(contigs.groupBy(*keys).agg(F.count("*").alias("n_contigs")), keys, "left")
-    facts = facts.join(n50(scaffolds, keys, "len", "scaffold_n50"), keys, "left").join(n50(contigs, keys, "len", "contig_n50"), keys, "left")
+    """Scaffolds, contigs (parted by gap or more Ns), total length, gap share and both N50s.
+
+    Each sequence is gone through once: lengths of both kinds are counted
+    together, and what follows is over distinct lengths.
+    """
+    ns = F.length("seq") - F.length(F.replace(F.replace(F.col("seq"), F.lit("N")), F.lit("n")))
+    parts = F.filter(F.transform(F.split("seq", f"[Nn]{{{gap},}}"), lambda x: F.struct(F.lit(1).alias("kind"), F.length(x).alias("len"), F.lit(0).alias("n"))), lambda x: x["len"] > 0)
+    own = F.array(F.struct(F.lit(0).alias("kind"), F.length("seq").alias("len"), ns.alias("n")))
+    rows = seqs.select(*keys, F.explode(F.concat(own, F.coalesce(parts, F.slice(own, 1, 0)))).alias("x")).select(*keys, "x.*")
+    each = rows.groupBy(*keys, "kind", "len").agg(F.count("*").alias("c"), F.sum("n").alias("n")).withColumn("s", F.col("c") * F.col("len"))
+    w = Window.partitionBy(*keys, "kind")
+    each = each.withColumns({"t": F.sum("s").over(w), "r": F.sum("s").over(w.orderBy(F.desc("len")))})
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    half = F.when(F.col("r") * 2 >= F.col("t"), F.col("len"))
+    facts = each.groupBy(*keys).agg(F.sum(of(0, F.col("c"))).alias("n_scaffolds"), F.sum(of(0, F.col("s"))).alias("total_length"), F.sum(of(0, F.col("n"))).alias("n_gap"), F.sum(of(1, F.col("c"))).alias("n_contigs"), F.max(of(0, half)).alias("scaffold_n50"), F.max(of(1, half)).alias("contig_n50"))
     return facts.withColumn("gap_percent", F.when(F.col("total_length") > 0, F.col("n_gap") * 100 / F.col("total_length")).otherwise(0.0)).fillna({"n_contigs": 0})
 
 

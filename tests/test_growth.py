@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociq.functions import scalars
-from lociq.operators import alignments, exons, intervals
+from lociq.operators import alignments, assembly, exons, hits, intervals
 from lociq.operators.intervals import islands, islands_of_bins
 from lociq.plans import catalog
 
@@ -125,3 +125,16 @@ def test_frameshifts_search_each_exon_once(spark):
     plan = spark.range(1).select(scalars.frameshifts(F.concat(F.lit("30M2F30M9N20M"), F.col("id").cast("string"), F.lit("G40M"))).alias("f"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert plan.first().f == (2, 2)
+
+
+def test_genome_table_takes_places_from_the_rows_it_has(spark):
+    statuses = spark.createDataFrame([("1at2", "Complete"), ("2at2", "Missing")], "marker string, status string")
+    kept = spark.createDataFrame([("1at2", "c:5-9", 7.0, 3, 5, 9, "-")], "marker string, gene string, score double, matched_length long, g_start long, g_end long, strand string")
+    got = hits.result_table(statuses, kept, places=(F.col("g_start"), F.col("strand")))
+    assert [(x.marker, x.g_start, x.strand) for x in got.collect()] == [("1at2", 5, "-"), ("2at2", None, None)]
+
+
+def test_assembly_metrics_go_through_sequences_once(spark):
+    """Four scans made lengths and counts, each from the sequences."""
+    plan = assembly.metrics(spark.createDataFrame([("a", "ACNNNNNNNNNNGT")], "input string, seq string"), ["input"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("seq#") > 0 and plan.count("LogicalRDD") == 1
