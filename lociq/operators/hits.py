@@ -170,9 +170,9 @@ def parasite_check(statuses: DataFrame, expected_missing: DataFrame) -> DataFram
     return c.withColumns({"c_percent": python_round(F.col("s_percent") + F.col("d_percent"), 1), "m_percent": python_round(100 - F.col("s_percent") - F.col("d_percent") - F.col("f_percent"), 1)}).drop("n_all")
 
 
-def result_table(statuses: DataFrame, ranked: DataFrame, annotation: DataFrame | None = None) -> DataFrame:
-    """The full table: a row per marker and gene, missing markers too, with annotation where there is one."""
-    genes = ranked.select("marker", "gene", "score", "matched_length")
+def result_table(statuses: DataFrame, ranked: DataFrame, annotation: DataFrame | None = None, places: tuple[Column, ...] = ()) -> DataFrame:
+    """The full table: a row per marker and gene, missing markers too, with annotation where there is one, and columns of the gene's place if given."""
+    genes = ranked.select("marker", "gene", "score", "matched_length", *places)
     out = statuses.join(genes, "marker", "left")
     if annotation is not None:
         out = out.join(annotation, "marker", "left")
